@@ -12,10 +12,26 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BASE = (
-    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
-)
+# declared schemas: no inference pass, and timestamps are instants (session zone UTC)
+BASE = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+    "o_orderdate TIMESTAMP, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+    "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, "
+    "l_shipdate TIMESTAMP",
+    "events": "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT",
+    "pages": "page_id BIGINT, url STRING, html STRING",
+    "benchmark": "item_id BIGINT, text STRING",
+    "labels": "doc_id BIGINT, quality INT, toxic INT",
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+}
 
 
 def text_ts(col: Column | str) -> Column:
@@ -42,11 +58,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in BASE:
             raise AttributeError(name)
-        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-        for field in df.schema.fields:
-            if field.dataType.typeName() == "timestamp_ntz":
-                df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
-        return df
+        return self.spark.read.schema(BASE[name]).parquet(f"{self.dir}/{name}.parquet")
 
     @cached_property
     def observations(self) -> DataFrame:
@@ -232,12 +244,16 @@ class Tables:
                 c.where("c_custkey > 0"), "C", ck, "C", F.floor(ck / 2), "DRAINS_TO", F.col("c_acctbal") / 10000
             ))
             .unionByName(rel(
-                c.where("c_custkey > 0"), "C", ck, "C", (ck * 7 + 3) % 1500, "INFLUENCES", F.col("c_acctbal") / 10000
+                c.where("c_custkey > 0"), "C", ck, "C", F.floor(ck / 3), "INFLUENCES", F.col("c_acctbal") / 10000
+            ))
+            .unionByName(rel(
+                c.where("c_custkey % 3 = 0"), "C", ck, "S", F.floor(ck / 15), "DEPENDS_ON", F.col("c_acctbal")
             ))
-            .unionByName(rel(c.where("c_custkey % 3 = 0"), "C", ck, "S", ck % 100, "DEPENDS_ON", F.col("c_acctbal")))
             .unionByName(rel(
-                p.select("p_type").distinct().crossJoin(o.select("o_orderpriority").distinct())
-                .where(F.length("p_type") % 5 + 1 == F.substring("o_orderpriority", 1, 1).cast("int")),
+                p.select("p_type").distinct().join(
+                    o.select("o_orderpriority").distinct(),
+                    F.length("p_type") % 5 + 1 == F.substring("o_orderpriority", 1, 1).cast("int"),
+                ),
                 "L", F.col("p_type"), "T", F.col("o_orderpriority"), "MITIGATES",
             ))
         )
@@ -298,8 +314,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         UNION ALL SELECT DISTINCT 'T' || o_orderpriority, 'C' || o_custkey, 'THREATENS', 1.0 FROM orders WHERE o_orderstatus = 'F'
         UNION ALL SELECT 'L' || p_type, 'P' || p_partkey, 'PROTECTS', 1.0 FROM part
         UNION ALL SELECT 'C' || c_custkey, 'C' || (c_custkey // 2), 'DRAINS_TO', c_acctbal / 10000 FROM customer WHERE c_custkey > 0
-        UNION ALL SELECT 'C' || c_custkey, 'C' || ((c_custkey * 7 + 3) % 1500), 'INFLUENCES', c_acctbal / 10000 FROM customer WHERE c_custkey > 0
-        UNION ALL SELECT 'C' || c_custkey, 'S' || (c_custkey % 100), 'DEPENDS_ON', c_acctbal FROM customer WHERE c_custkey % 3 = 0
+        UNION ALL SELECT 'C' || c_custkey, 'C' || (c_custkey // 3), 'INFLUENCES', c_acctbal / 10000 FROM customer WHERE c_custkey > 0
+        UNION ALL SELECT 'C' || c_custkey, 'S' || (c_custkey // 15), 'DEPENDS_ON', c_acctbal FROM customer WHERE c_custkey % 3 = 0
         UNION ALL SELECT 'L' || p_type, 'T' || o_orderpriority, 'MITIGATES', 1.0 FROM (SELECT DISTINCT p_type FROM part)
             CROSS JOIN (SELECT DISTINCT o_orderpriority FROM orders)
             WHERE length(p_type) % 5 + 1 = CAST(substr(o_orderpriority, 1, 1) AS INT)"""),
