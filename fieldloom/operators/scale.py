@@ -64,13 +64,21 @@ def chunked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunks:
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on equal keys where null equals null, keeping the left key columns."""
+    """Equi join where null equals null, keeping the left key columns.
+
+    Without keys the right side is one row, attached as a scalar.
+    """
+    if not keys:
+        return left.withColumn("_one", right.select(F.struct("*")).scalar()).select("*", "_one.*").drop("_one")
     renamed = right
     for k in keys:
         renamed = renamed.withColumnRenamed(k, f"_r_{k}")
-    cond = F.lit(True)
+    cond = None
     for k in keys:
-        cond = cond & left[k].eqNullSafe(renamed[f"_r_{k}"])
+        one, other = left[k], renamed[f"_r_{k}"]
+        # plain equality lets the join reuse the partitioning of a preceding aggregate
+        same = one.eqNullSafe(other) if left.schema[k].nullable and right.schema[k].nullable else one == other
+        cond = same if cond is None else cond & same
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 

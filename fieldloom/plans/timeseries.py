@@ -73,9 +73,9 @@ def _(t):
     return op.anomalies_iqr(t.observations, ["variable"], "value").select("event_id", "variable", "value")
 
 
-@query("ts_rolling", sql_with("gappy", """SELECT variable, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(avg(value) OVER w, 7) AS value_mean,
-    round(stddev_samp(value) OVER w, 7) AS value_std, round(min(value) OVER w, 7) AS value_min, round(max(value) OVER w, 7) AS value_max,
-    round(sum(value) OVER w, 7) AS value_sum, round(median(value) OVER w, 7) AS value_median, round(var_samp(value) OVER w, 7) AS value_var,
+@query("ts_rolling", sql_with("gappy", """SELECT variable, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(avg(value) OVER w, 5) AS value_mean,
+    round(stddev_samp(value) OVER w, 5) AS value_std, round(min(value) OVER w, 5) AS value_min, round(max(value) OVER w, 5) AS value_max,
+    round(sum(value) OVER w, 5) AS value_sum, round(median(value) OVER w, 5) AS value_median, round(var_samp(value) OVER w, 5) AS value_var,
     count(value) OVER w AS value_count
     FROM gappy WINDOW w AS (PARTITION BY variable ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)"""))
 def _(t):
@@ -83,7 +83,7 @@ def _(t):
     out = op.rolling(t.gappy, ["variable"], [F.col("ts")], "value", 24, names)
     return out.select(
         "variable", text_ts("ts").alias("ts"), "value_count",
-        *[F.round(f"value_{n}", 7).alias(f"value_{n}") for n in names if n != "count"],
+        *[F.round(f"value_{n}", 5).alias(f"value_{n}") for n in names if n != "count"],
     )
 
 
