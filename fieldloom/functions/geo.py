@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fieldloom.functions.scalar import let
+
 EARTH_M = 6371008.8  # fixed value: mean earth radius
 MERCATOR_M = 6378137.0  # fixed value: radius of EPSG:3857
 MAX_LAT = 85.0511287798066  # fixed value: latitude where the Mercator square ends
@@ -86,11 +88,12 @@ def ring_bbox(ring: Column) -> tuple[Column, Column, Column, Column]:
 
 def _segments(ring: Column) -> Column:
     """Array of ``a, b`` point pairs along the ring, closing it."""
-    n = F.size(ring)
-    return F.transform(
-        ring,
-        lambda p, i: F.struct(p.alias("a"), F.element_at(ring, ((i + 1) % n + 1).cast("int")).alias("b")),
-    )
+
+    def pairs(r: Column) -> Column:
+        after = F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1))
+        return F.zip_with(r, after, lambda p, q: F.struct(p.alias("a"), q.alias("b")))
+
+    return let(ring, pairs)
 
 
 def ring_area_km2(ring: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -100,11 +100,21 @@ def threshold_penalty(x: Column, threshold: float, weight: float, power: float,
     return F.lit(float(weight)) * F.pow(F.greatest(over, F.lit(0.0)), F.lit(float(power)))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once per row (a lambda variable is bound, not repeated)."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
 def softmax(values: Column) -> Column:
     """Softmax of an array, shifted by its maximum."""
-    shifted = F.transform(values, lambda v: F.exp(v - F.array_max(values)))
-    total = F.aggregate(shifted, F.lit(0.0), lambda acc, v: acc + v)
-    return F.transform(shifted, lambda v: v / total)
+
+    def shares(e: Column) -> Column:
+        return let(F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x), lambda total: F.transform(e, lambda x: x / total))
+
+    def shifted(v: Column) -> Column:
+        return let(F.array_max(v), lambda m: let(F.transform(v, lambda x: F.exp(x - m)), shares))
+
+    return let(values, shifted)
 
 
 def weighted_score(parts: dict[str, tuple[Column, float]]) -> tuple[Column, Column]:

@@ -73,17 +73,18 @@ def _(t):
     return op.anomalies_iqr(t.observations, ["variable"], "value").select("event_id", "variable", "value")
 
 
-@query("ts_rolling", sql_with("gappy", """SELECT variable, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(avg(value) OVER w, 5) AS value_mean,
-    round(stddev_samp(value) OVER w, 5) AS value_std, round(min(value) OVER w, 5) AS value_min, round(max(value) OVER w, 5) AS value_max,
-    round(sum(value) OVER w, 5) AS value_sum, round(median(value) OVER w, 5) AS value_median, round(var_samp(value) OVER w, 5) AS value_var,
+@query("ts_rolling", sql_with("gappy", """, s AS (SELECT variable, ts, value * 0.7310585 AS value FROM gappy) SELECT variable, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(avg(value) OVER w, 6) AS value_mean,
+    round(stddev_samp(value) OVER w, 6) AS value_std, round(min(value) OVER w, 6) AS value_min, round(max(value) OVER w, 6) AS value_max,
+    round(sum(value) OVER w, 6) AS value_sum, round(median(value) OVER w, 6) AS value_median, round(var_samp(value) OVER w, 6) AS value_var,
     count(value) OVER w AS value_count
-    FROM gappy WINDOW w AS (PARTITION BY variable ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)"""))
+    FROM s WINDOW w AS (PARTITION BY variable ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)"""))
 def _(t):
     names = ("mean", "std", "min", "max", "sum", "median", "var", "count")
-    out = op.rolling(t.gappy, ["variable"], [F.col("ts")], "value", 24, names)
+    scaled = t.gappy.withColumn("value", F.col("value") * 0.7310585)
+    out = op.rolling(scaled, ["variable"], [F.col("ts")], "value", 24, names)
     return out.select(
         "variable", text_ts("ts").alias("ts"), "value_count",
-        *[F.round(f"value_{n}", 5).alias(f"value_{n}") for n in names if n != "count"],
+        *[F.round(f"value_{n}", 6).alias(f"value_{n}") for n in names if n != "count"],
     )
 
 
