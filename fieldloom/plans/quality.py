@@ -11,10 +11,15 @@ from fieldloom.plans.registry import query
 from fieldloom.plans.tables import sql_with, text_ts
 from fieldloom.schemas import Check, in_range, one_of, present
 
-EVENT_CHECKS = [
-    in_range("value", 0.5, 120.0), one_of("event_type", ["click", "error", "purchase", "signup"]), present("user_id"),
-    Check("station_range", F.col("user_id") < 1_000_000),
-]
+
+
+def event_checks() -> list[Check]:
+    return [
+        in_range("value", 0.5, 120.0), one_of("event_type", ["click", "error", "purchase", "signup"]), present("user_id"),
+        Check("station_range", F.col("user_id") < 1_000_000),
+    ]
+
+
 GATE_SQL = """CASE WHEN NOT (value >= 0.5 AND value <= 120) THEN 'value_range' END,
     CASE WHEN event_type NOT IN ('click', 'error', 'purchase', 'signup') THEN 'event_type_value' END,
     CASE WHEN user_id IS NULL THEN 'user_id_missing' END,
@@ -23,7 +28,7 @@ GATE_SQL = """CASE WHEN NOT (value >= 0.5 AND value <= 120) THEN 'value_range' E
 
 @query("quality_gate", f"SELECT event_id, nullif(concat_ws(',', {GATE_SQL}), '') AS reasons FROM events")
 def _(t):
-    good, bad = op.quality_gate(t.events, EVENT_CHECKS)
+    good, bad = op.quality_gate(t.events, event_checks())
     return good.select("event_id", F.lit(None).cast("string").alias("reasons")).unionByName(
         bad.select("event_id", F.array_join("reasons", ",").alias("reasons"))
     )
