@@ -120,7 +120,7 @@ def correlations(df: DataFrame, columns: Sequence[str], at_least: float = 0.0) -
         for i, (a, b) in enumerate(pairs)
     ]))
     long = wide.select(rows.alias("s")).select("s.*").where(F.abs("r") >= at_least)
-    t = F.col("r") * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col("r") * F.col("r"), F.lit(0.0)))
+    t = F.col("r") * F.sqrt(F.greatest(F.col("n") - 2, F.lit(0)) / F.nullif(1 - F.col("r") * F.col("r"), F.lit(0.0)))
     return long.withColumn("p_value", F.when(F.col("n") > 2, F.coalesce(t_two_sided_p(t, F.col("n") - 2), F.lit(0.0))))
 
 
@@ -171,9 +171,9 @@ def quality_report(
     missing = reduce(lambda a, b: a + b, [F.col(c).isNull().cast("int") for c in columns])
     n = F.count(F.lit(1))
     wide = marked.agg(
-        n.alias("rows"), (F.sum(missing) / (n * len(columns)) * 100).alias("missing_pct"),
-        (F.sum(outlier) / (n * len(numeric)) * 100).alias("outlier_pct"),
-        *[(F.sum((~F.coalesce(rule, F.lit(False))).cast("int")) / n * 100).alias(f"broken_{name}_pct") for name, rule in rules.items()],
+        n.alias("rows"), (F.try_divide(F.sum(missing), n * len(columns)) * 100).alias("missing_pct"),
+        (F.try_divide(F.sum(outlier), n * len(numeric)) * 100).alias("outlier_pct"),
+        *[(F.try_divide(F.sum((~F.coalesce(rule, F.lit(False))).cast("int")), n) * 100).alias(f"broken_{name}_pct") for name, rule in rules.items()],
         F.max(ts).alias("last_update"),
     )
     distinct = df.groupBy(*unique_by).agg(F.count(F.lit(1)).alias("_c")).agg(

@@ -118,6 +118,7 @@ def paths(
         F.array("id").alias("path"), F.expr("cast(array() as array<string>)").alias("types"), F.col("id").alias("_end")
     )
     found, have = [], 0
+    ends = None if targets is None else checkpointed(targets.select(F.col("id").alias("_end")).distinct())
     for depth in range(1, high + 1):
         hop = front.join(steps, F.col("_end") == F.col("src"))
         # the same edge again means: same node pair and type at an earlier step
@@ -130,7 +131,7 @@ def paths(
             F.concat("path", F.array("dst")).alias("path"), F.concat("types", F.array("type")).alias("types"), F.col("dst").alias("_end")
         ))
         if depth >= low:
-            hits = front if targets is None else front.join(targets.select(F.col("id").alias("_end")), "_end", "left_semi")
+            hits = front if ends is None else front.join(ends, "_end", "left_semi")
             found.append(hits.select("path", "types", F.lit(depth).alias("length")))
             if limit is not None:
                 have += hits.limit(limit).count()

@@ -91,7 +91,7 @@ def anomaly_summary(df: DataFrame, keys: Sequence[str], value: str, k: float = 3
     out = F.count_if((F.col(value) < F.col("lower")) | (F.col(value) > F.col("upper")))
     return joined.groupBy(*keys).agg(
         F.count(value).alias("total_points"), out.alias("anomaly_count"),
-        (out / F.count(value)).alias("anomaly_rate"), F.max("upper").alias("upper"), F.max("lower").alias("lower"),
+        F.try_divide(out, F.count(value)).alias("anomaly_rate"), F.max("upper").alias("upper"), F.max("lower").alias("lower"),
     )
 
 
