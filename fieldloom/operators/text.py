@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.functions.scalar import let
 from fieldloom.operators.sets import topk_per_group
 
 # fixed values: words that send a question to a domain, in the order that breaks ties
@@ -60,18 +61,21 @@ def route(text: Column, keywords: dict[str, list[str]] | None = None) -> Column:
     The keyword lists are fixed, so the scores are expressions of the row: no join.
     """
     keywords = keywords or DOMAIN_KEYWORDS
-    low = F.lower(text)
-    scored = []
-    for i, (name, words) in enumerate(keywords.items()):
-        hits = None
-        for w in words:
-            one = low.contains(w).cast("int")
-            hits = one if hits is None else hits + one
-        # sorts by falling score, then by list order
-        scored.append(F.struct((-hits).alias("s"), F.lit(i).alias("i"), F.lit(name).alias("name")))
-    kept = F.filter(F.array_sort(F.array(*scored)), lambda x: x["s"] < 0)
-    names = F.transform(kept, lambda x: x["name"])
-    return F.when(F.size(names) > 0, names).otherwise(F.array(*[F.lit(n) for n in keywords]))
+
+    def domains(low: Column) -> Column:
+        scored = []
+        for i, (name, words) in enumerate(keywords.items()):
+            hits = None
+            for w in words:
+                one = low.contains(w).cast("int")
+                hits = one if hits is None else hits + one
+            # sorts by falling score, then by list order
+            scored.append(F.struct((-hits).alias("s"), F.lit(i).alias("i"), F.lit(name).alias("name")))
+        kept = F.filter(F.array_sort(F.array(*scored)), lambda x: x["s"] < 0)
+        return F.transform(kept, lambda x: x["name"])
+
+    everything = F.array(*[F.lit(n) for n in keywords])
+    return let(let(F.lower(text), domains), lambda names: F.when(F.size(names) > 0, names).otherwise(everything))
 
 
 def evidence(claim: Column, name: Column, description: Column, trend: Column, severity: Column) -> tuple[Column, Column]:
