@@ -11,7 +11,7 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fieldloom.operators.scale import quantiles
@@ -215,22 +215,22 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
         .select("src", "dst", F.pmod(F.hash("dst"), F.col("salts")).alias("salt"))
         .repartition("src", "salt").persist()
     )
-    ids = checkpointed(nodes.select("id"))
-    n = ids.count()
-    ranks, spread = ids.select("id", F.lit(1.0 / n).alias("rank")), 0.0
+    n = nodes.count()
+    # a rank is stored without the share every node gets (``spread``); a node nothing points to stores no row
+    ranks, spread = None, 1.0 / n
     for _ in range(rounds):
-        # a rank is stored without the share every node gets; ``spread`` is that share
-        sending = degree.join(ranks, F.col("src") == F.col("id")).select(
-            "src", ((F.col("rank") + spread) / F.col("out")).alias("share"),
-            F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
+        sending = degree if ranks is None else degree.join(ranks, F.col("src") == F.col("id"), "left")
+        own = F.lit(0.0) if ranks is None else F.coalesce("rank", F.lit(0.0))
+        sending = sending.select(
+            "src", ((own + spread) / F.col("out")).alias("share"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
         )
-        sums = placed.join(sending, ["src", "salt"]).groupBy("dst").agg((F.sum("share") * damping).alias("rank"))
-        ranks = checkpointed(
-            ids.join(sums, F.col("id") == F.col("dst"), "left").select("id", F.coalesce("rank", F.lit(0.0)).alias("rank"))
-        )
-        spread = (1.0 - (ranks.agg(F.sum("rank")).first()[0] or 0.0)) / n
+        sums = placed.join(sending, ["src", "salt"]).groupBy(F.col("dst").alias("id")).agg((F.sum("share") * damping).alias("rank"))
+        # the total is observed while the round is written: no second pass over it
+        seen = Observation()
+        ranks = checkpointed(sums.observe(seen, F.sum("rank").alias("total")))
+        spread = (1.0 - (seen.get["total"] or 0.0)) / n
     placed.unpersist()
-    return ranks.withColumn("rank", F.col("rank") + spread)
+    return nodes.select("id").join(ranks, "id", "left").select("id", (F.coalesce("rank", F.lit(0.0)) + spread).alias("rank"))
 
 
 def importance(nodes: DataFrame, ranks: DataFrame, label: str, limit: int | None = 50) -> DataFrame:

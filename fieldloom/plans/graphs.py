@@ -63,7 +63,7 @@ PATHS_SQL = ", " + CLOSURE.format(r="R1") + """, steps AS (SELECT src, dst, type
 @query("g_paths_k", sql_with("edges", PATHS_SQL, recursive=True))
 def _(t):
     start = t.customer.agg(F.concat(F.lit("C"), F.max("c_custkey").cast("string")).alias("id"))
-    out = op.paths(t.edges, start, ["DRAINS_TO", "INFLUENCES"], 1, 6, op.region_closure(t.edges, "R1"), 20)
+    out = op.paths(t.stored_edges, start, ["DRAINS_TO", "INFLUENCES"], 1, 6, op.region_closure(t.stored_edges, "R1"), 20)
     return out.select(F.array_join("path", ">").alias("path"), F.array_join("types", ">").alias("types"), F.col("length").cast("long").alias("length"))
 
 
@@ -85,7 +85,7 @@ def _bfs_sql(depth: int) -> str:
     names AS (SELECT string_agg(CASE WHEN i > 1 THEN ' -[' || types[i - 1] || ']- ' ELSE '' END || n.name, '' ORDER BY i) AS explanation FROM x JOIN nodes n ON n.id = x.id)
     SELECT array_to_string(path, '>') AS path, CAST(depth AS BIGINT) AS depth, explanation FROM p, names"""))
 def _(t):
-    out = op.shortest_path(t.nodes, t.edges, "LECONOMY", "R3", 5)
+    out = op.shortest_path(t.nodes, t.stored_edges, "LECONOMY", "R3", 5)
     return out.select(F.array_join("path", ">").alias("path"), F.col("depth").cast("long").alias("depth"), "explanation")
 
 
@@ -93,7 +93,7 @@ def _(t):
     SELECT 'node' AS kind, id AS a, CAST(depth AS VARCHAR) AS b, '' AS type FROM k
     UNION ALL SELECT 'edge', src, dst, type FROM edges WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)"""))
 def _(t):
-    nodes, edges = op.subgraph(t.nodes, t.edges, "C7", 2, 200)
+    nodes, edges = op.subgraph(t.nodes, t.stored_edges, "C7", 2, 200)
     return nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("depth").cast("string").alias("b"), F.lit("").alias("type")).unionByName(
         edges.select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "type")
     )
@@ -114,7 +114,7 @@ def _pagerank_sql(rounds: int) -> str:
 @query("g_pagerank", sql_with("nodes edges", _pagerank_sql(20) + """ SELECT id, round(rank / (SELECT max(r.rank) FROM r20 r JOIN nodes USING (id) WHERE label = 'Habitat'), 6) AS score
     FROM r20 JOIN nodes USING (id) WHERE label = 'Habitat'"""))
 def _(t):
-    ranks = op.pagerank(t.nodes, t.edges, 20)
+    ranks = op.pagerank(t.nodes, t.stored_edges, 20)
     return op.importance(t.nodes, ranks, "Habitat", None).select("id", F.round("score", 6).alias("score"))
 
 

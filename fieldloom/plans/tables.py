@@ -12,6 +12,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.session import checkpointed
+
 # declared schemas: no inference pass, and timestamps are instants (session zone UTC)
 BASE = {
     "region": "r_regionkey INT, r_name STRING",
@@ -218,6 +220,11 @@ class Tables:
             .unionByName(rows(policy, "L", F.col("p_type"), "Policy", F.col("p_type"), F.lit("resources")))
         )
 
+    @cached_property
+    def stored_edges(self) -> DataFrame:
+        """The edges written once, as the rounds of a traversal need them."""
+        return checkpointed(self.edges)
+
     @cached_property
     def edges(self) -> DataFrame:
         """src, dst, type, strength (distinct)."""
