@@ -80,10 +80,10 @@ def _anomalies(t, name: str):
     return t.spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out").drop("batch")
 
 
-@query("st_anomaly", sql_with("obs", RUNNING + " SELECT event_id, variable, round(baseline, 6) AS baseline, round(score, 5) AS score, severity FROM f"))
+@query("st_anomaly", sql_with("obs", RUNNING + " SELECT event_id, variable, round(baseline * 0.7310585, 6) AS scaled_baseline, round(score, 5) AS score, severity FROM f"))
 def _(t):
     out = _anomalies(t, _name("anomaly"))
-    return out.select("event_id", "variable", F.round("baseline", 6).alias("baseline"), F.round("score", 5).alias("score"), "severity")
+    return out.select("event_id", "variable", F.round(F.col("baseline") * 0.7310585, 6).alias("scaled_baseline"), F.round("score", 5).alias("score"), "severity")
 
 
 @query("st_alerts", sql_with("obs", RUNNING + """ SELECT 'alert-' || event_id AS alert_id, variable, severity, strftime(ts, '%Y-%m-%d %H:%M:%S') AS valid_from,
