@@ -168,3 +168,17 @@ def best_epochs(history: DataFrame, run: str, step: str, loss: str, patience: in
     return kept.groupBy(run).agg(
         F.max_by("_best.s", "_s").alias("best_step"), F.max_by("_best.l", "_s").alias("best_loss"), F.max("stop_step").alias("stop_step")
     )
+
+
+def stack(df: DataFrame, members: Sequence[str], y: str = "y_true", name: str = "stacked") -> tuple[DataFrame, list[float]]:
+    """Linear meta-learner on member predictions: rows with the stacked prediction, and [intercept, weights...].
+
+    Least squares from one pass of moments; scoring is a column expression.
+    """
+    from fieldloom.operators.causal import moments
+
+    slopes, intercept, _, _ = moments(df, {"all": [y, *members]})["all"].regress(y, list(members))
+    out = F.lit(float(intercept))
+    for weight, member in zip(slopes, members):
+        out = out + F.lit(float(weight)) * F.col(member)
+    return df.withColumn(name, out), [float(intercept), *[float(s) for s in slopes]]

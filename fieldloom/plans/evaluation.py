@@ -168,3 +168,18 @@ def _(t):
     )
     history = with_position(runs, ["run"], [F.col("ts"), F.col("event_id")], "epoch")
     return op.best_epochs(history, "run", "epoch", "val_loss", 10)
+
+
+STACK_SQL = """, m AS (SELECT l_orderkey * 10 + l_linenumber AS row_id, sum(y_true) AS y, sum(y_pred) AS a, sum(y_std * y_std / 20000) AS b FROM predictions GROUP BY 1),
+    c AS (SELECT var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM m),
+    w AS (SELECT (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS wa, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS wb, * FROM c)
+    SELECT row_id, round(my + wa * (a - ma) + wb * (b - mb), 2) AS stacked FROM m, w"""
+
+
+@query("ml_stacking", sql_with("predictions", STACK_SQL))
+def _(t):
+    wide = t.predictions.groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id")).agg(
+        F.sum("y_true").alias("y"), F.sum("y_pred").alias("a"), F.sum(F.col("y_std") * F.col("y_std") / 20000).alias("b")
+    )
+    scored, _ = op.stack(wide, ["a", "b"], "y")
+    return scored.select("row_id", F.round("stacked", 2).alias("stacked"))
