@@ -272,12 +272,10 @@ def cube_levels(df: DataFrame, levels: Sequence[str], value: str) -> DataFrame:
     return df.cube(*levels).agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
 
 
-def dashboard(parts: dict[str, DataFrame]) -> DataFrame:
-    """One row per domain from frames with (metric, alerts, risk_rank), plus the overall row ``all``."""
-    rows = [d.select(F.lit(name).alias("domain"), "metric", "alerts", "risk_rank") for name, d in parts.items()]
-    every = reduce(DataFrame.unionByName, rows)
-    overall = every.agg(
+def dashboard(rows: DataFrame) -> DataFrame:
+    """Rows (domain, metric, alerts, risk_rank) plus the overall row ``all``: total alerts and worst risk."""
+    overall = rows.agg(
         F.lit("all").alias("domain"), F.lit(None).cast("double").alias("metric"), F.sum("alerts").alias("alerts"),
         F.max("risk_rank").alias("risk_rank"),
     )
-    return every.unionByName(overall)
+    return rows.select("domain", "metric", "alerts", "risk_rank").unionByName(overall)

@@ -21,6 +21,7 @@ from fieldloom.functions.stats import f_upper_p, norm_cdf, t_p_driver, two_sided
 from fieldloom.operators.joins import join_nearest
 from fieldloom.operators.scale import quantiles
 from fieldloom.operators.windows import lags
+from fieldloom.session import checkpointed
 
 # ---- sufficient statistics ------------------------------------------------------
 
@@ -175,7 +176,8 @@ def matching(df: DataFrame, unit: str, treatment: str, outcome: str, confounders
     ``score`` names a column to match on instead of a fitted score.
     """
     scored = df.withColumn("_score", F.col(score)) if score else propensity(df, treatment, confounders, "_score")[0]
-    rows = scored.select(F.col(unit).alias("_u"), F.col(treatment).alias("_t"), F.col(outcome).alias("_y"), "_score")
+    # four narrow columns, written once: both directions read them several times
+    rows = checkpointed(scored.select(F.col(unit).alias("_u"), F.col(treatment).alias("_t"), F.col(outcome).alias("_y"), "_score"))
     treated, control = rows.where("_t = 1"), rows.where("_t = 0")
 
     def effects(own: DataFrame, other: DataFrame, sign: int) -> DataFrame:
@@ -302,7 +304,8 @@ def granger(df: DataFrame, variables: Sequence[str], order: Sequence[Column], ma
     """
     spark = df.sparkSession
     clean = df.na.drop(subset=list(variables))
-    lagged = lags(clean, [], order, variables, max_lag, hot_rows)
+    # read twice, for the means and for the cross products
+    lagged = checkpointed(lags(clean, [], order, variables, max_lag, hot_rows))
     samples = {str(l): [*variables, *[f"{v}_lag{i}" for v in variables for i in range(1, l + 1)]] for l in range(1, max_lag + 1)}
     by_lag = moments(lagged, samples)
     edges = []

@@ -249,11 +249,11 @@ def _(t):
     domains = {"click": "climate", "error": "biodiversity", "purchase": "health", "signup": "food_security", "view": "resources"}
     v = F.col("value")
     risk = F.when(v > 200, "critical").when(v > 120, "high").when(v > 60, "medium").otherwise("low")
-    per = t.observations.groupBy("variable").agg(
+    name = F.create_map(*[F.lit(x) for pair in domains.items() for x in pair])
+    per = t.observations.groupBy(F.element_at(name, F.col("variable")).alias("domain")).agg(
         F.avg(v).alias("metric"), F.count_if(v > 120).alias("alerts"), F.max(severity_rank(risk)).alias("risk_rank")
     )
-    parts = {domain: per.where(F.col("variable") == name) for name, domain in domains.items()}
-    return rounded(op.dashboard(parts), 6, "metric").withColumn("risk_rank", F.col("risk_rank").cast("long"))
+    return rounded(op.dashboard(per), 6, "metric").withColumn("risk_rank", F.col("risk_rank").cast("long"))
 
 
 @query("agg_report", sql_with("points stations", f"""SELECT 'customers' AS section, count(*) AS n, round(sum(c_acctbal), 2) AS amount FROM (SELECT c_acctbal,

@@ -81,9 +81,13 @@ def _(t):
     return rounded(rounded(out, 4, "att", "ate", "se"), 6, "mean_distance", "max_distance")
 
 
-@query("ca_matching_propensity")
+PS_MATCH = MATCH.replace("balance AS s, outcome AS y FROM treatment WHERE treated", "raw AS s, y FROM ps WHERE t")
+
+
+@query("ca_matching_propensity", sql_with("treatment", _newton(6) + PS_MATCH))
 def _(t):
-    return op.matching(t.treatment, "unit", "treated", "outcome", ["balance", "nation"])
+    out = op.matching(t.treatment, "unit", "treated", "outcome", ["balance", "nation"])
+    return rounded(rounded(out, 4, "att", "ate", "se"), 6, "mean_distance", "max_distance")
 
 
 @query("ca_bootstrap")
@@ -177,7 +181,22 @@ def _(t):
     return rounded(out, 6, "predicted", "effect")
 
 
-@query("ca_shapley")
+def _outcome(subset: str) -> str:
+    """View after setting a subset of click (c), error (e) and signup (s)."""
+    click = "80" if "c" in subset else "(SELECT avg(click) FROM h)"
+    error = "20" if "e" in subset else f"(i1 + s1 * {click})"
+    signup = "60" if "s" in subset else "(SELECT avg(signup) FROM h)"
+    return f"(vi + vp * (pi + pc * {click} + pe * {error}) + vs * {signup})"
+
+
+def _share(own: str, a: str, b: str) -> str:
+    """Shapley value of one of three factors from the outcomes of all subsets."""
+    steps = [(1 / 3, ""), (1 / 6, a), (1 / 6, b), (1 / 3, a + b)]
+    return " + ".join(f"{w!r}::DOUBLE * ({_outcome(own + s)} - {_outcome(s)})" for w, s in steps)
+
+
+@query("ca_shapley", sql_with("obs", CORR_CTE + FIT + f""", sv AS (SELECT 'click' AS factor, {_share('c', 'e', 's')} AS value FROM y UNION ALL SELECT 'error', {_share('e', 'c', 's')} FROM y UNION ALL SELECT 'signup', {_share('s', 'c', 'e')} FROM y)
+    SELECT factor, round(value, 6) AS value, round(abs(value) / (SELECT sum(abs(value)) FROM sv), 6) AS share, CAST(row_number() OVER (ORDER BY abs(value) DESC) AS INT) AS rank FROM sv"""))
 def _(t):
     model = op.fit_structure(hourly(t), CHAIN)
     return rounded(op.shapley(t.spark, model, {"click": 80.0, "error": 20.0, "signup": 60.0}, "view"), 6, "value", "share")
