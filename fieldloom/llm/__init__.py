@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-QUERY_MODULES = ("query_warc",)
+QUERY_MODULES = ("query_warc", "query_secrets")
 
 
 def load_queries():
