@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-QUERY_MODULES = ("query_warc", "query_secrets")
+QUERY_MODULES = ("query_warc", "query_secrets", "query_packing")
 
 
 def load_queries():
