@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-QUERY_MODULES = ("query_warc", "query_secrets", "query_packing")
+QUERY_MODULES = ("query_warc", "query_secrets", "query_packing", "query_jaccard")
 
 
 def load_queries():

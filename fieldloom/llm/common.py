@@ -26,3 +26,9 @@ def text_of(col: Column | str) -> Column:
     """The text, or the empty text for null."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
+
+
+def bounded_batches(df: DataFrame, max_bytes: int = 16 << 20) -> DataFrame:
+    """``df`` as it is, with a session whose Arrow batches stop at ``max_bytes``, so that long texts do not add up."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(max_bytes))
+    return df
