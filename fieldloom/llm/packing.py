@@ -26,6 +26,8 @@ from fieldloom.llm.common import stored, text_of
 from fieldloom.llm.wordpieces import blocks, encoder
 
 CAPACITY, UNIT, END_ID = 2048, 8, 1
+#: how far from the least number of sequences the linear program may stop
+GAP = 2e-3
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
@@ -49,18 +51,18 @@ def price(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.n
     return float(best[room]), pattern
 
 
-def linear_program(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def linear_program(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = GAP) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (columns) and how often to use each, so that they hold ``demand`` in the fewest sequences.
 
-    ``rounds`` ends a slow tail; every basis before the last packs all the same, only not as tightly.
+    The optimum is at least the total size over the room, and the present number of sequences over the best pattern's
+    value; columns are added until the present number exceeds one of them by the share ``gap`` at most.
     """
-    m = len(sizes)
     basis = np.diag((room // sizes).astype(float))
     inverse = np.diag(1.0 / np.diag(basis))
     use = inverse @ demand
-    for _ in range(rounds or 40 * m):
+    while True:
         value, pattern = price(inverse.sum(axis=0), sizes, room)
-        if value <= 1 + 1e-7:
+        if use.sum() <= (1 + gap) * max(use.sum() / value, sizes @ demand / room):
             break
         way = inverse @ pattern
         ratio = np.where(way > 1e-9, use / np.where(way > 1e-9, way, 1), np.inf)

@@ -15,12 +15,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: characters of text in a block, and words a worker remembers between blocks; both only bound memory
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 8 << 20
 WORDS = 300_000
 #: punctuation that the tokenizer always splits from the letters before it
 TAIL = ".,;:!?"
 
 
+def _listed(words: pa.Array) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordEncoder:
     """Ids by a word-end tokenizer (its tokens mark the end of a word by ``</w>``, its pre-tokenizer splits at white space)."""
 
@@ -32,6 +36,7 @@ class WordEncoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.kind = np.uint16 if len(self.ends) <= 1 << 16 else np.uint32
         self.marks = tuple(t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values())
         self.forget()
 
@@ -71,12 +76,15 @@ class WordEncoder:
 
     def _rows_of(self, words: pa.Array) -> np.ndarray:
         """The remembered row of each of ``words``, which are distinct."""
-        listed = words.to_pylist()
-        new = pa.array([w for w in listed if w not in self.rows], pa.string())
-        letters = pc.match_substring_regex(new, r"^\pL+$")
-        self._encode_letters(new.filter(letters).to_pylist())
-        self._encode(new.filter(pc.invert(letters)).to_pylist())
-        return np.fromiter((self.rows[w] for w in listed), np.int64, len(listed))
+        listed = _listed(words)
+        rows = list(map(self.rows.get, listed))
+        if None in rows:
+            new = pa.array([w for w, r in zip(listed, rows, strict=True) if r is None], pa.string())
+            letters = pc.match_substring_regex(new, r"^\pL+$")
+            self._encode_letters(_listed(new.filter(letters)))
+            self._encode(_listed(new.filter(pc.invert(letters))))
+            rows = list(map(self.rows.get, listed))
+        return np.array(rows, np.int32)
 
     def block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts`` (no nulls), and the number of ids of each."""
@@ -96,21 +104,32 @@ class WordEncoder:
         base = pc.if_else(plain, base, words)
         tail = pc.if_else(plain, pc.utf8_slice_codeunits(words, 0, 0), words)
         cut = np.asarray(pc.utf8_length(base))
-        tail = pa.array([w[c:] for w, c in zip(words.to_pylist(), cut.tolist(), strict=True)], pa.string())
-        segments = np.empty((len(words), 2), np.int64)
+        tail = pa.array([w[c:] for w, c in zip(_listed(words), cut.tolist(), strict=True)], pa.string())
+        segments = np.zeros((len(words), 2), np.int32)
         for column, values in enumerate((base, tail)):
             d = values.dictionary_encode()
-            segments[:, column] = self._rows_of(d.dictionary)[np.asarray(d.indices)] if len(d) else 0
-        rows = segments[np.asarray(coded.indices)].ravel()
+            if len(d):
+                segments[:, column] = self._rows_of(d.dictionary)[np.asarray(d.indices)]
+        # first the ids of each distinct word, then those of all words
         starts, lengths = np.array(self.starts, np.int64), np.array(self.lengths, np.int64)
-        lens = lengths[rows]
-        ends = np.cumsum(lens)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.pool[np.repeat(starts[rows] - (ends - lens), lens) + np.arange(total)]
-        upto = np.concatenate([[0], ends])[2 * bounds]
+        pool, _, sizes = gathered(self.pool, starts, lengths, segments.ravel())
+        sizes = sizes.reshape(-1, 2).sum(axis=1)
+        ids, ends, _ = gathered(pool.astype(self.kind), np.cumsum(sizes) - sizes, sizes, np.asarray(coded.indices))
+        upto = np.concatenate([[0], ends])[bounds]
         return ids, np.diff(upto)
 
 
+def gathered(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces of ``pool`` that ``rows`` name, one after the other; where each ends; how long each is."""
+    lens = lengths[rows]
+    ends = np.cumsum(lens)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(pool)) < 2**31 else np.int64
+    at = np.repeat((starts[rows] - (ends - lens)).astype(kind), lens)
+    at += np.arange(total, dtype=kind)
+    return pool[at], ends, lens
+
+
 def encoder(path: str) -> WordEncoder:
     """The worker's encoder for ``path``. It is kept on the tokenizers module, which lives as long as the worker."""
     import tokenizers
