@@ -2,7 +2,17 @@
 
 from importlib import import_module
 
-QUERY_MODULES = ("query_chat", "query_vectors", "query_warc", "query_packing", "query_jaccard", "query_toxicity", "query_secrets", "query_quality")
+QUERY_MODULES = (
+    "query_chat",
+    "query_vectors",
+    "query_segmentation",
+    "query_warc",
+    "query_packing",
+    "query_jaccard",
+    "query_toxicity",
+    "query_secrets",
+    "query_quality",
+)
 
 
 def load_queries():
