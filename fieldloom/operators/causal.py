@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from graphlib import TopologicalSorter
 from itertools import combinations, permutations
 
 import numpy as np
@@ -131,7 +132,8 @@ def propensity(
     for i, c in enumerate(confounders):
         xs.append((F.col(c) - F.lit(scale[f"m{i}"])) / F.lit(scale[f"s{i}"] or 1.0))
     beta = np.zeros(len(xs))
-    scaled = df.select(F.col(treatment).cast("double").alias("_t"), *[x.alias(f"_x{i}") for i, x in enumerate(xs)])
+    # every step reads these columns again, so they are computed once
+    scaled = checkpointed(df.select(F.col(treatment).cast("double").alias("_t"), *[x.alias(f"_x{i}") for i, x in enumerate(xs)]))
     penalty = np.diag([0.0] + [1.0] * len(confounders))
 
     def logit(b: np.ndarray, columns: list[Column]) -> Column:
@@ -151,8 +153,8 @@ def propensity(
         delta = np.linalg.solve(hess, grad)
         beta = beta + delta
         if np.abs(delta).max() < tolerance:
-            break
-    return df.withColumn(name, logit(beta, xs)), beta
+            return df.withColumn(name, logit(beta, xs)), beta
+    raise ArithmeticError(f"the propensity score did not converge in {rounds} rounds")
 
 
 def iptw(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str]) -> DataFrame:
@@ -368,18 +370,17 @@ def pc_skeleton(df: DataFrame, variables: Sequence[str], alpha: float = 0.05) ->
             return 0.0
         return t_p_driver(spark, r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
 
-    linked = ~np.eye(k, dtype=bool)
-    for depth in range(k - 1):
-        for i, j in combinations(range(k), 2):
-            if not linked[i, j]:
-                continue
-            around = [x for x in range(k) if x not in (i, j) and linked[i, x]]
-            if len(around) < depth:
-                continue
-            if any(p_value(i, j, s) > alpha for s in combinations(around, depth)):
-                linked[i, j] = linked[j, i] = False
-        if max(linked.sum(axis=1)) <= depth + 1:
+    # order-independent form: a depth's tests all use the neighbours that the depth began with
+    edges = {frozenset(pair) for pair in combinations(range(k), 2)}
+    depth = 0
+    while True:
+        near = {v: {w for e in edges if v in e for w in e if w != v} for v in range(k)}
+        tests = {e: [(v, s) for v in sorted(e) for s in combinations(sorted(near[v] - e), depth)] for e in edges}
+        if not any(tests.values()):
             break
+        edges -= {e for e, sets in tests.items() if any(p_value(*sorted(e), s) > alpha for _, s in sets)}
+        depth += 1
+    linked = np.array([[frozenset((i, j)) in edges for j in range(k)] for i in range(k)])
     std = np.sqrt(np.diag(m.cross))
     rows = [
         (variables[i], variables[j], round(abs(float(m.cross[i, j] / (std[i] * std[j]))), 4), round(1 - alpha, 4), 0)
@@ -397,18 +398,11 @@ class StructuralModel:
     equations: dict[str, tuple[list[str], np.ndarray, float]]
 
     def order(self) -> list[str]:
-        names = sorted({v for e in self.edges for v in e} | set(self.mean))
-        waiting = {v: sum(1 for _, b in self.edges if b == v) for v in names}
-        out, free = [], [v for v in names if waiting[v] == 0]
-        while free:
-            v = free.pop(0)
-            out.append(v)
-            for a, b in self.edges:
-                if a == v:
-                    waiting[b] -= 1
-                    if waiting[b] == 0:
-                        free.append(b)
-        return out
+        """Causes before effects; a cycle is an error."""
+        graph = {v: set() for v in sorted({v for e in self.edges for v in e} | set(self.mean))}
+        for a, b in sorted(self.edges):
+            graph[b].add(a)
+        return list(TopologicalSorter(graph).static_order())
 
     def propagate(self, interventions: dict[str, float]) -> dict[str, float]:
         """Mean of every variable after setting some: causes first, each by its equation."""
@@ -484,11 +478,11 @@ def policy_curve(spark: SparkSession, model: StructuralModel, variable: str, lev
     return spark.createDataFrame(rows, "level double, predicted double, effect double, best boolean")
 
 
-def shapley(spark: SparkSession, model: StructuralModel, targets: dict[str, float], outcome: str, samples: int = 5000, seed: int = 7) -> DataFrame:
-    """(factor, value, share, rank): contributions of moving each factor to its target, averaged over orders.
+def shapley(spark: SparkSession, model: StructuralModel, targets: dict[str, float], outcome: str, samples: int | None = None, seed: int = 7) -> DataFrame:
+    """(factor, value, share, rank): contributions of moving each factor to its target, averaged over all orders.
 
-    All orders up to eight factors; beyond that a seeded sample. Outcomes are
-    computed once per subset, of which there are few.
+    Exact: each subset of the other factors counts with the share of orders that put it first. With ``samples`` the
+    average is over so many random orders instead, for more factors than 2^n outcomes allow.
     """
     factors = list(targets)
     known: dict[frozenset, float] = {}
@@ -498,19 +492,20 @@ def shapley(spark: SparkSession, model: StructuralModel, targets: dict[str, floa
             known[subset] = model.propagate({f: targets[f] for f in subset})[outcome]
         return known[subset]
 
-    if len(factors) <= 8:
-        orders = permutations(factors)
+    n, sums, count = len(factors), dict.fromkeys(factors, 0.0), 1
+    if samples is None:
+        for f in factors:
+            others = [g for g in factors if g != f]
+            for size in range(n):
+                share = 1 / (n * math.comb(n - 1, size))
+                sums[f] += share * sum(outcome_of(frozenset(s) | {f}) - outcome_of(frozenset(s)) for s in combinations(others, size))
     else:
-        rng = np.random.default_rng(seed)
-        orders = (tuple(rng.permutation(factors)) for _ in range(samples))
-    sums, count = dict.fromkeys(factors, 0.0), 0
-    for one in orders:
-        count += 1
-        have: frozenset = frozenset()
-        for f in one:
-            step = have | {f}
-            sums[f] += outcome_of(step) - outcome_of(have)
-            have = step
+        rng, count = np.random.default_rng(seed), samples
+        for _ in range(samples):
+            have: frozenset = frozenset()
+            for f in rng.permutation(factors).tolist():
+                sums[f] += outcome_of(have | {f}) - outcome_of(have)
+                have = have | {f}
     values = {f: s / count for f, s in sums.items()}
     total = sum(abs(v) for v in values.values())
     ranked = sorted(factors, key=lambda f: -abs(values[f]))

@@ -8,11 +8,11 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from fieldloom.functions.geo import haversine_m
 
 EARTH_DEGREE_M = 111_195.0  # metres of one degree of latitude on the sphere, rounded up
-LIST_LIMIT = 1_000
 
 
 def filter_bbox(df: DataFrame, bbox: Sequence[float], lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -64,13 +64,14 @@ def search_name(df: DataFrame, text: str, columns: Sequence[str], status: str |
 
 
 def filter_entities(df: DataFrame, entities: Sequence[Any] | DataFrame, column: str = "entity") -> DataFrame:
-    """Rows of the listed entities: an IN list when short, else (or for a frame) a semi join."""
+    """Rows of the listed entities (a list, or the first column of a frame): a semi join, whatever their number.
+
+    A list takes the column's own type, so an empty one gives no row and a null in it matches nothing.
+    """
     if isinstance(entities, DataFrame):
         wanted = entities.select(F.col(entities.columns[0]).alias(column))
-        return df.join(wanted, column, "left_semi")
-    if len(entities) <= LIST_LIMIT:
-        return df.where(F.col(column).isin(list(entities)))
-    wanted = df.sparkSession.createDataFrame([(e,) for e in entities], [column])
+    else:
+        wanted = df.sparkSession.createDataFrame([(e,) for e in entities], StructType([StructField(column, df.schema[column].dataType)]))
     return df.join(wanted, column, "left_semi")
 
 

@@ -7,6 +7,7 @@ Lists that a node could have without bound are returned as rows, not collected.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 from functools import reduce
@@ -467,12 +468,12 @@ def adjacency_matrix(edges: DataFrame, variables: Sequence[str]) -> DataFrame:
     return spine.join(cells, "variable", "left").select("variable", *[F.coalesce(v, F.lit(0.0)).alias(v) for v in variables])
 
 
-def topological_levels(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def topological_levels(edges: DataFrame) -> DataFrame:
     """(id, level): causes before effects. Each round takes the nodes no remaining edge leads to; a cycle is an error."""
     rest = checkpointed(edges.select("src", "dst").distinct())
     left = checkpointed(rest.select(F.col("src").alias("id")).unionByName(rest.select(F.col("dst").alias("id"))).distinct())
     levels = []
-    for level in range(max_rounds):
+    for level in itertools.count():
         free = checkpointed(left.join(rest.select(F.col("dst").alias("id")), "id", "left_anti"))
         if free.isEmpty():
             if not left.isEmpty():

@@ -46,14 +46,31 @@ def _(t):
     ))
 
 
-@query("scan_paged_rest", "SELECT event_id, user_id, event_type, value FROM events WHERE value >= 30.0 AND event_type = 'click'")
-def _(t):
-    path = _folder(t, "paged")
-    land_pages(t.events.select("event_id", "user_id", "event_type", "value"), path, [F.col("event_id")], 1000)
-    df = read_paged(t.spark, "event_id BIGINT, user_id BIGINT, event_type STRING, value DOUBLE", url=path, paging="offset", page_size="1000")
+PAGED_SQL = "SELECT event_id, user_id, event_type, value FROM events WHERE value >= 30.0 AND event_type = 'click'"
+
+
+def _paged(t, paging, page_size):
+    path = _folder(t, f"paged-{paging}")
+    land_pages(t.events.select("event_id", "user_id", "event_type", "value"), path, [F.col("event_id")], page_size)
+    df = read_paged(t.spark, "event_id BIGINT, user_id BIGINT, event_type STRING, value DOUBLE", url=path, paging=paging)
     return df.where("value >= 30.0 AND event_type = 'click'")
 
 
+@query("scan_paged_rest", PAGED_SQL)
+def _(t):
+    return _paged(t, "offset", 1000)
+
+
+@query("scan_paged_page", PAGED_SQL)
+def _(t):
+    return _paged(t, "page", 100)
+
+
+@query("scan_paged_cursor", PAGED_SQL)
+def _(t):
+    return _paged(t, "cursor", 2500)
+
+
 @query("page_envelope", """SELECT page_id, 'web' AS source_name, '2024-01-01 00:00:00' AS fetched_at, CASE WHEN html LIKE '<%' THEN 'html' ELSE 'text' END AS format,
     octet_length(encode(html)) AS size_bytes, sha256(html) AS checksum FROM pages""")
 def _(t):

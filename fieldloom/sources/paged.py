@@ -1,23 +1,25 @@
 """Paged sources as a Spark data source: ``spark.read.format("paged")``.
 
-Options: ``url`` (a folder of landed page files), ``paging`` (offset, page or
-cursor), ``page_size``, ``max_items``, ``dialect`` (how a box and a time range
-are written in request parameters). Offset and page paging are planned as one
-partition per run of pages and read in parallel; a cursor chain is read by one
-task, because each page names the next.
-
-A page file is ``page=<n>/<any>.json``: one JSON document with ``results``,
-``total`` and ``next``.
+Options: ``url`` (a folder of landed page files, on any file system that Arrow
+reads), ``paging`` (offset, page or cursor), ``max_items``. Offset and page
+paging are planned as one partition per run of pages and read in parallel; a
+cursor chain is read by one task, because each page names the next.
+
+A page is the folder ``page=<n>`` with one or more JSON documents, each with
+``results``, ``total`` and ``next``; its records are those of all its files in
+the order of their names. How many records a page holds is what page 0 holds,
+and ``total`` says how many there are: a page with fewer or more, or a page
+that is not there, is an error, so no record is lost.
 """
 
 from __future__ import annotations
 
-import glob
 import json
 import math
-import os
+import re
 from collections.abc import Iterator
 
+from pyarrow import fs as arrow_fs
 from pyspark.sql.datasource import (
     DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual,
 )
@@ -25,9 +27,6 @@ from pyspark.sql.types import StructType
 
 KM_PER_DEGREE = 111.32  # fixed value: kilometres of one degree used for the radius of a box
 
-# fixed values: greatest page size each dialect accepts
-PAGE_LIMIT = {"station": 1000, "occurrence": 300, "air": 100, "stac": 50}
-
 
 def request_parameters(
     dialect: str, bbox: tuple[float, float, float, float] | None = None, start: str | None = None, end: str | None = None,
@@ -63,18 +62,17 @@ def request_parameters(
 class PageRange(InputPartition):
     """Pages first..last of a numbered source, or a cursor chain from its first page."""
 
-    def __init__(self, first: int, last: int, chain: bool):
+    def __init__(self, first: int, last: int, chain: bool, size: int = 0, total: int = 0):
         super().__init__((first, last, chain))
-        self.first, self.last, self.chain = first, last, chain
+        self.first, self.last, self.chain, self.size, self.total = first, last, chain, size, total
 
 
 class PagedReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict[str, str]):
         self.schema = schema
-        self.url = options["url"].removeprefix("file:")
+        url = options["url"]
+        self.url = f"file://{url[5:]}" if re.match("file:/(?!/)", url) else url
         self.paging = options.get("paging", "offset")
-        self.dialect = options.get("dialect", "station")
-        self.page_size = min(int(options.get("page_size", "1000")), PAGE_LIMIT.get(self.dialect, 1000))
         self.max_items = int(options.get("max_items", "0"))
         self.per_task = int(options.get("pages_per_task", "16"))
         self.pushed: list[tuple[str, str, object]] = []
@@ -92,10 +90,13 @@ class PagedReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         if self.paging == "cursor":
             return [PageRange(0, 0, True)]
-        total = self._page(0)["total"]
+        first = self._page(0)
+        size, total = len(first["results"]), int(first["total"])
         wanted = min(total, self.max_items) if self.max_items else total
-        pages = math.ceil(wanted / self.page_size)
-        return [PageRange(i, min(i + self.per_task, pages), False) for i in range(0, pages, self.per_task)]
+        if wanted and not size:
+            raise ValueError(f"page 0 of {self.url} is empty, though there are {total} records")
+        pages = math.ceil(wanted / size) if size else 0
+        return [PageRange(i, min(i + self.per_task, pages), False, size, total) for i in range(0, pages, self.per_task)]
 
     def read(self, partition: PageRange) -> Iterator[tuple]:
         names = [f.name for f in self.schema.fields]
@@ -104,15 +105,21 @@ class PagedReader(DataSourceReader):
             if not partition.chain and number >= partition.last:
                 return
             page = self._page(number)
+            if not partition.chain:
+                due = min(partition.size, partition.total - number * partition.size)
+                if len(page["results"]) != due:
+                    raise ValueError(f"page {number} of {self.url} has {len(page['results'])} records, not {due}")
             left = None
             if self.max_items:
-                left = self.max_items - (taken if partition.chain else number * self.page_size)
+                left = self.max_items - (taken if partition.chain else number * partition.size)
             for record in page["results"][: left if left is None else max(left, 0)]:
                 taken += 1
                 if self._matches(record):
                     yield tuple(record.get(n) for n in names)
             if partition.chain:
                 if page.get("next") is None or (self.max_items and taken >= self.max_items):
+                    if not self.max_items and page.get("total") is not None and taken != int(page["total"]):
+                        raise ValueError(f"{self.url} has {taken} records, not {page['total']}")
                     return
                 number = int(page["next"])
             else:
@@ -129,11 +136,17 @@ class PagedReader(DataSourceReader):
         return True
 
     def _page(self, number: int) -> dict:
-        files = sorted(f for f in glob.glob(os.path.join(self.url, f"page={number}", "*")) if not os.path.basename(f).startswith(("_", ".")))
+        store, base = arrow_fs.FileSystem.from_uri(self.url)
+        found = store.get_file_info(arrow_fs.FileSelector(f"{base}/page={number}", allow_not_found=True))
+        files = sorted(f.path for f in found if f.is_file and not f.base_name.startswith(("_", ".")))
         if not files:
             raise FileNotFoundError(f"page {number} of {self.url}")
-        with open(files[0], encoding="utf-8") as fh:
-            return json.loads(fh.read())
+        documents = []
+        for path in files:
+            with store.open_input_stream(path) as stream:
+                documents.append(json.loads(stream.read()))
+        told = {k: next((d[k] for d in documents if d.get(k) is not None), None) for k in ("total", "next")}
+        return told | {"results": [record for d in documents for record in d["results"]]}
 
 
 class PagedSource(DataSource):

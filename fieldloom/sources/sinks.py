@@ -10,19 +10,24 @@ from pyspark.sql import functions as F
 
 
 def upsert(
-    stored: DataFrame, changes: DataFrame, keys: Sequence[str], update: Sequence[str] | None, order: Sequence[str]
+    stored: DataFrame, changes: DataFrame, keys: Sequence[str], update: Sequence[str] | None, order: Sequence[str], newest: bool = False
 ) -> DataFrame:
     """Stored rows with the changes applied: listed columns replaced, unknown keys added.
 
     ``update=[]`` does nothing on a conflict, ``None`` replaces every column. Of
     several changes to one key the last by ``order`` counts (an aggregate, so
-    a key changed very often is combined before the shuffle).
+    a key changed very often is combined before the shuffle). With ``newest`` the
+    stored rows hold the order columns too, and a change that is older than
+    the stored row by them is left out.
     """
     columns = stored.columns
     update = [c for c in columns if c not in keys] if update is None else list(update)
     last = changes.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in columns if c not in keys]), F.struct(*order)).alias("_new"))
     both = stored.withColumn("_old", F.lit(True)).join(last, list(keys), "full_outer")
     changed, is_old = F.col("_new").isNotNull(), F.col("_old").isNotNull()
+    if newest:
+        late = F.struct(*[F.col(c) for c in order]) > F.struct(*[F.col(f"_new.{c}").alias(c) for c in order])
+        changed = changed & ~F.coalesce(is_old & late, F.lit(False))
     out = []
     for c in columns:
         if c in keys:

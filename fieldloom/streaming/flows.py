@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from fieldloom.functions.scalar import severity_of_z
 from fieldloom.operators.scale import running_sums, same_keys
@@ -135,18 +135,26 @@ def versions(spark: SparkSession, path: str) -> list[int]:
 def upsert_sink(path: str, schema: str, keys: Sequence[str], update: Sequence[str] | None, order: Sequence[str]) -> Callable[[DataFrame, int], None]:
     """Batch function that merges rows into a versioned table: version n is version n−1 with batch n applied.
 
-    A repeated batch starts again from the version before it, so the result is
-    the same however often it runs.
+    The table keeps each row's order, so a row that comes late, in whatever batch, does not replace a newer one. A
+    repeated batch starts again from the version before it, so the result is the same however often it runs. Versions
+    before the last two are deleted.
     """
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = [v for v in versions(spark, path) if v < number]
         names = spark.createDataFrame([], schema).columns
-        stored = spark.read.schema(schema).parquet(f"{path}/batch={before[-1]}") if before else spark.createDataFrame([], schema)
-        extra = [c for c in order if c not in names]
-        merged = upsert(stored, batch.select(*names, *extra), keys, update, order)
-        merged.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        mark = {c: f"_order_{c}" for c in order}
+        changes = batch.select(*names, *[F.col(c).alias(m) for c, m in mark.items()])
+        if before:
+            stored = spark.read.schema(changes.schema).parquet(f"{path}/batch={before[-1]}")
+        else:
+            stored = spark.createDataFrame([], changes.schema)
+        told = None if update is None else [*update, *mark.values()]
+        upsert(stored, changes, keys, told, list(mark.values()), newest=True).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        for old in before[:-1]:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={old}")
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
     return each
 
@@ -234,10 +242,37 @@ def open_alerts(table: DataFrame, at: Column | None = None) -> DataFrame:
     return live if at is None else live.where(F.col("valid_until") >= at)
 
 
+class LateRows(StreamingQueryListener):
+    """Counts the rows that stateful operators dropped beyond the watermark, by query id, over all batches."""
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        late = sum(int(s.numRowsDroppedByWatermark) for s in event.progress.stateOperators)
+        self.dropped[str(event.progress.id)] = self.dropped.get(str(event.progress.id), 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def dropped_late_rows(query: StreamingQuery) -> int:
-    """Rows beyond the watermark that the stateful operators of a finished query dropped."""
-    total = 0
-    for progress in query.recentProgress:
-        for state in progress["stateOperators"]:
-            total += int(state.get("numRowsDroppedByWatermark", 0))
-    return total
+    """Rows beyond the watermark that a finished query dropped, from the progress it still holds.
+
+    A session keeps the last ``spark.sql.streaming.numRecentProgressUpdates`` batches only; when a query has run longer,
+    this is an error, and a ``LateRows`` listener added before the start has the whole count.
+    """
+    recent = query.recentProgress
+    if recent and int(recent[0]["batchId"]) > 0 and len(recent) >= int(_recent_kept()):
+        raise ValueError("earlier batches are no longer held: add a LateRows listener before the query starts")
+    return sum(int(state.get("numRowsDroppedByWatermark", 0)) for progress in recent for state in progress["stateOperators"])
+
+
+def _recent_kept() -> str:
+    return SparkSession.active().conf.get("spark.sql.streaming.numRecentProgressUpdates", "100")

@@ -21,19 +21,19 @@ SCHEMA = "id BIGINT, kind BIGINT, value DOUBLE"
 
 @pytest.mark.parametrize("style", ["offset", "page", "cursor"])
 def test_paging(spark, landed, style):
-    df = paged.read_paged(spark, SCHEMA, url=landed, paging=style, page_size="20", pages_per_task="2")
+    df = paged.read_paged(spark, SCHEMA, url=landed, paging=style, pages_per_task="2")
     assert rows(df, "id") == sorted(((i,) for i in range(95)), key=repr)
     assert df.rdd.getNumPartitions() == (1 if style == "cursor" else 3)
 
 
 @pytest.mark.parametrize("style,n", [("offset", 50), ("cursor", 50), ("offset", 20), ("cursor", 500)])
 def test_max_items(spark, landed, style, n):
-    df = paged.read_paged(spark, SCHEMA, url=landed, paging=style, page_size="20", max_items=str(n))
+    df = paged.read_paged(spark, SCHEMA, url=landed, paging=style, max_items=str(n))
     assert df.count() == min(n, 95)
 
 
 def test_filters_are_pushed_into_the_reader(spark, landed):
-    df = paged.read_paged(spark, SCHEMA, url=landed, page_size="20").where("value >= 30 AND kind = 3 AND id + 1 > 0")
+    df = paged.read_paged(spark, SCHEMA, url=landed).where("value >= 30 AND kind = 3 AND id + 1 > 0")
     assert rows(df, "id") == sorted(((i,) for i in range(95) if i * 1.5 >= 30 and i % 7 == 3), key=repr)
 
 
@@ -172,3 +172,25 @@ def test_partitions_are_pruned(spark, tables, tmp_path):
     assert "PartitionFilters: [isnotnull(bucket" in plan_of(df)
     files = {r["f"].split("bucket=")[1].split("/")[0] for r in df.select(F.input_file_name().alias("f")).distinct().collect()}
     assert files == {"1997-01-01", "1997-04-01"}
+
+
+def _page(folder, number, results, total, name="part.json"):
+    (folder / f"page={number}").mkdir(exist_ok=True)
+    (folder / f"page={number}" / name).write_text(json.dumps({"results": [{"id": i} for i in results], "total": total}))
+
+
+def test_paged_counts_come_from_the_source(spark, tmp_path):
+    for p in range(12):
+        _page(tmp_path, p, range(10 * p, 10 * p + 6), 120, "a.json")
+        _page(tmp_path, p, range(10 * p + 6, 10 * p + 10), 120, "b.json")
+    for paging in ("offset", "page"):
+        df = paged.read_paged(spark, "id BIGINT", url=str(tmp_path), paging=paging, pages_per_task="3")
+        assert sorted(r.id for r in df.collect()) == list(range(120))
+
+
+@pytest.mark.parametrize("fault", ["short", "missing"])
+def test_paged_losses_are_errors(spark, tmp_path, fault):
+    for p in range(3 if fault == "short" else 2):
+        _page(tmp_path, p, range(5 * p, 5 * p + (4 if p == 1 and fault == "short" else 5)), 15)
+    with pytest.raises(Exception, match="page 1|page 2"):
+        paged.read_paged(spark, "id BIGINT", url=str(tmp_path)).collect()

@@ -97,6 +97,22 @@ def test_upsert_replay_gives_the_same_table(spark, tmp_path):
     assert flows.latest(spark, str(tmp_path / "none"), schema).count() == 0
 
 
+def test_rows_that_come_late_do_not_replace_newer_ones(spark, tmp_path):
+    schema = "k INT, v STRING"
+    path = str(tmp_path / "late")
+    sink = flows.upsert_sink(path, schema, ["k"], ["v"], ["o"])
+
+    def batch(*data):
+        return spark.createDataFrame(list(data), "k INT, v STRING, o INT")
+
+    sink(batch((1, "new", 9), (2, "x", 1)), 0)
+    sink(batch((1, "stale", 2), (2, "y", 1), (3, "z", None)), 1)
+    sink(batch((3, "first", 0), (1, "older", 8)), 2)
+    sink(batch((3, "late", -1)), 3)
+    assert rows(flows.latest(spark, path, schema), "k", "v") == [(1, "new"), (2, "y"), (3, "first")]
+    assert flows.versions(spark, path) == [2, 3]
+
+
 def test_bad_json_goes_to_rejects(spark):
     raw = spark.createDataFrame([('{"event_id": 1, "event_type": "a", "value": 2.5}',), ("{broken",), ('{"event_type": "a"}',), (None,)], "value string")
     parsed = flows.parse_envelopes(raw)
