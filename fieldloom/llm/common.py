@@ -32,3 +32,37 @@ def bounded_batches(df: DataFrame, max_bytes: int = 16 << 20) -> DataFrame:
     """``df`` as it is, with a session whose Arrow batches stop at ``max_bytes``, so that long texts do not add up."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(max_bytes))
     return df
+
+
+def labelled_sample(docs: DataFrame, told: DataFrame, label: str, most: dict[int, int]) -> DataFrame:
+    """The rows of ``docs`` with a label of ``told`` (doc_id, label), at most ``most[label]`` of each label.
+
+    Ids are chosen first, in the order of a hash; they are few whatever the input, so they are sent to the documents
+    and no text is shuffled. Of rows that repeat an id, all are taken.
+    """
+    there = docs.select("doc_id").join(told, "doc_id").distinct()
+    parts = [there.where(F.col(label) == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for v, n in most.items()]
+    chosen = parts[0]
+    for part in parts[1:]:
+        chosen = chosen.unionByName(part)
+    rows = chosen.collect()
+    return docs.join(F.broadcast(docs.sparkSession.createDataFrame(rows, chosen.schema)), "doc_id")
+
+
+#: bits of a sieve; the sieve of any number of keys is this large at most
+SIEVE_BITS = 1 << 24
+
+
+def sieved(rows: DataFrame, key: Column, keys: DataFrame, other: Column) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not among ``keys``' values of ``other``, to shuffle fewer of them.
+
+    The keys set bits by their hash; the bits are at most ``SIEVE_BITS``, whatever the number of keys, and so may be
+    broadcast. Every row whose key is there passes.
+    """
+    bit = F.pmod(F.xxhash64(other), F.lit(SIEVE_BITS)) + 1
+    bits = keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("sieve_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("sieve_bits"))
+    place = F.pmod(F.xxhash64(key), F.lit(SIEVE_BITS)) + 1
+    marked = rows.withColumn("sieve_bucket", F.bitmap_bucket_number(place)).withColumn("sieve_place", F.bitmap_bit_position(place))
+    byte = F.conv(F.hex(F.substring("sieve_bits", (F.col("sieve_place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.expr("shiftright({b}, cast(sieve_place % 8 as int))".format(b="sieve_byte")).bitwiseAND(F.lit(1)) == 1
+    return marked.join(F.broadcast(bits), "sieve_bucket").withColumn("sieve_byte", byte).where(hit).drop("sieve_bucket", "sieve_place", "sieve_bits", "sieve_byte")

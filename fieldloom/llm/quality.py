@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import stored, text_of
+from fieldloom.llm.common import labelled_sample, stored, text_of
 from fieldloom.llm.toxicity import logistic
 
 #: rows of each label that the classifier is fitted on
@@ -77,12 +77,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Clas
     Without rows of both labels it knows nothing, and all log odds are 0.
     """
     rows = docs.select("doc_id", text_of("text").alias("text"))
-    rows = (rows if learn is None else rows.where(learn)).join(labels_of(labels), "doc_id")
-    taken = []
-    for label in (0, 1):
-        some = rows.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE)
-        taken.append(np.array([tuple(r) for r in some.select(*features(F.col("text"))).collect()], float).reshape(-1, len(FEATURES)))
-    bad, good = taken
+    found = labelled_sample(rows if learn is None else rows.where(learn), labels_of(labels), "quality", {0: SAMPLE, 1: SAMPLE})
+    table = np.array([tuple(r) for r in found.select("quality", *features(F.col("text"))).orderBy("quality", *FEATURES).collect()], float).reshape(-1, 1 + len(FEATURES))
+    bad, good = (table[table[:, 0] == v, 1:] for v in (0, 1))
     if not len(bad) or not len(good):
         return Classifier((0.0,) * len(FEATURES), (1.0,) * len(FEATURES), (0.0,) * (1 + 2 * len(FEATURES)), 0.0)
     x, y = np.vstack([bad, good]), np.array([0.0] * len(bad) + [1.0] * len(good))
