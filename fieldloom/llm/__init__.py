@@ -21,4 +21,6 @@ def load_queries():
         import_module(f"fieldloom.llm.{name}")
     from fieldloom.llm.registry import ORACLES, QUERIES
 
-    return dict(QUERIES), dict(ORACLES)
+    pipeline = import_module("corpus_pipeline")
+    oracles = dict(ORACLES) if pipeline.ORACLE_SQL is None else {**ORACLES, "pipeline": pipeline.ORACLE_SQL}
+    return {**QUERIES, "pipeline": pipeline.run}, oracles
