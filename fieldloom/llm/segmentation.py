@@ -31,7 +31,8 @@ MARK, LITERAL_MARK = 0x2581, 0x110000
 CUT = 48
 #: a byte costs this much more than the rarest piece
 BYTE_COST = 2.0
-CHARS = 4 << 20
+#: characters of text in a block, and bytes of a batch; both only bound memory
+CHARS, BATCH = 1 << 20, 4 << 20
 
 
 def _place_weights(n: int) -> np.ndarray:
@@ -72,7 +73,8 @@ class Lattice:
         self.keys, self.ids = keys, np.array([known[k] for k in keys.tolist()])
         raw = [bytes([self.byte_ids.tolist().index(i)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("▁", " ").encode() if i in pieces else b"" for i in ids]
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
-        self.raw_ends = np.cumsum([len(r) for r in raw])
+        self.raw_sizes = np.array([len(r) for r in raw])
+        self.raw_ends = np.cumsum(self.raw_sizes)
 
     def edges(self, cps: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """start, stop, piece (-1: bytes), weight of all pieces that fit into ``cps``; ``ends``: end of each place's segment."""
@@ -120,7 +122,10 @@ class Lattice:
         size = np.diff(np.append(at, len(cps)))
         inner = np.arange(len(cps)) - np.repeat(at, size)
         names = np.add.reduceat(_symbols(cps) * _place_weights(CUT)[inner], at)
-        _, first, kind = np.unique(names, return_index=True, return_inverse=True)
+        coded = pa.array(names).dictionary_encode()
+        kind = np.asarray(coded.indices)
+        first = np.empty(len(coded.dictionary), np.int64)
+        first[kind[::-1]] = np.arange(len(kind))[::-1]
         # the distinct segments, one after the other, with a place before each character and one behind the last
         own = size[first]
         head = np.cumsum(own + 1) - own - 1
@@ -170,7 +175,7 @@ class Lattice:
         todo = np.argsort(kind, kind="stable")
         state, drawn, step = (head + own)[kind[todo]], [], 0
         while len(todo):
-            u = (mixed(seed[todo] + np.uint64(step + 1) * STEP) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+            u = (mixed(seed[todo] + np.uint64((step + 1) * int(STEP) % 2**64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
             e = np.searchsorted(limit, state + u, "right")
             drawn.append((todo, piece[e], padded[start[e]]))
             state = start[e]
@@ -199,12 +204,13 @@ class Lattice:
         out[out < 0] = np.concatenate(codes)
         return out, np.bincount(text, more, len(per_text)).astype(np.int64)
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes of the text that ``ids`` stand for."""
-        ends = self.raw_ends[ids]
-        begins = np.where(ids > 0, self.raw_ends[ids - 1], 0)
-        size = ends - begins
-        return self.raw[np.repeat(begins - (np.cumsum(size) - size), size) + np.arange(size.sum())].tobytes()
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that ``ids`` stand for, and where each id's bytes end among them."""
+        size = self.raw_sizes[ids]
+        ends = np.cumsum(size)
+        at = np.repeat((self.raw_ends[ids] - ends).astype(np.int32), size)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.raw[at], ends
 
 
 def lattice(path: str, temperature: float) -> Lattice:
@@ -232,7 +238,7 @@ def encode(docs: DataFrame, model: str, seed: int = 0, temperature: float = 1.0)
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(many)]).astype(np.int32), ids.astype(np.int32))
                 yield pa.RecordBatch.from_arrays([block.column("doc_id"), lists], names=["doc_id", "ids"])
 
-    keyed = bounded_batches(docs).select("doc_id", text_of("text").alias("text"), F.xxhash64("doc_id", F.lit(seed)).alias("key"))
+    keyed = bounded_batches(docs, BATCH).select("doc_id", text_of("text").alias("text"), F.xxhash64("doc_id", F.lit(seed)).alias("key"))
     return keyed.mapInArrow(sample, "doc_id long, ids array<int>")
 
 
@@ -242,10 +248,13 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = lattice(model, 1.0)
         for batch in batches:
-            column = batch.column("ids")
-            flat, offsets = np.asarray(column.values), np.asarray(column.offsets).tolist()
-            texts = [pieces.decode(flat[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary()).cast(pa.string())], names=[*batch.schema.names, "text"])
-
-    rows = bounded_batches(encoded).select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+            for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
+                column = part.column("ids")
+                offsets = np.asarray(column.offsets)
+                data, ends = pieces.decode(np.asarray(column.flatten()))
+                bounds = np.concatenate([[0], ends])[offsets - offsets[0]]
+                texts = pa.Array.from_buffers(pa.large_string(), len(column), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)]).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, "text"])
+
+    rows = bounded_batches(encoded, BATCH).select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
     return rows.mapInArrow(read, "doc_id long, ids array<int>, text string")
