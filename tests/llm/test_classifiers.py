@@ -4,10 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.llm import quality, toxicity
+from fieldloom.llm.query_toxicity import held_out
 from fieldloom.plans.tables import Tables
 
-HELD = F.expr("crc32(CAST(doc_id AS STRING)) % 3 = 1")
-
 
 @pytest.fixture(scope="module")
 def larger(spark):
@@ -15,13 +14,13 @@ def larger(spark):
 
 
 def rates(found, labels, label, yes):
-    rows = found.join(labels.dropDuplicates(["doc_id"]), "doc_id").where(HELD).select(label, F.expr(yes).alias("yes")).collect()
+    rows = found.join(labels.dropDuplicates(["doc_id"]), "doc_id").where(held_out()).select(label, F.expr(yes).alias("yes")).collect()
     right = [r.yes for r in rows if r[label] == 1], [r.yes for r in rows if r[label] == 0]
     return [sum(x) / len(x) for x in right]
 
 
 def test_toxicity_on_held_out_rows(larger):
-    model = toxicity.fit(larger.documents, larger.labels, ~HELD)
+    model = toxicity.fit(larger.documents, larger.labels, ~held_out())
     caught, wrong = rates(toxicity.scored(larger.documents, model).select("doc_id", "score"), larger.labels, "toxic", "score >= 0.7")
     assert caught > 0.7 and wrong < 0.01
 
@@ -57,7 +56,7 @@ def test_only_places_count_as_evidence():
 
 def test_quality_on_held_out_rows(larger):
     docs, labels = larger.documents, larger.labels
-    found = quality.scored(docs, labels, quality.fit(docs, labels, ~HELD), learn=~HELD).select("doc_id", "quality_score")
+    found = quality.scored(docs, labels, quality.fit(docs, labels, ~held_out()), learn=~held_out()).select("doc_id", "quality_score")
     kept, wrong = rates(found, labels, "quality", f"quality_score >= {quality.KEEP}")
     assert kept > 0.99 and wrong < 0.1
 
