@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,8 @@ DOMAIN_KEYWORDS: dict[str, list[str]] = {
     ],
 }
 
-QUERY_VECTOR_LIMIT = 4096
+#: query vectors of one block, on average
+QUERY_BLOCK = 2048
 
 
 def tokens(text: Column) -> Column:
@@ -143,13 +145,22 @@ def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
 def vector_topk(corpus: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id", vector: str = "embedding", query_id: str = "query_id"):
     """(query_id, vec_id, score, rank): exact cosine top-k of each query vector over the corpus.
 
-    The query vectors, whose number is checked, travel as one matrix; each Arrow
-    batch is one matrix product of which only its own best ``k`` per query leave
-    the task. The corpus is read once and never shuffled as a whole.
+    The query vectors travel in blocks of about ``QUERY_BLOCK``, each as one matrix; an Arrow batch of the corpus is one
+    matrix product, of which only its own best ``k`` per query leave the task. The corpus is read once a block and never
+    shuffled as a whole.
     """
-    rows = queries.select(query_id, vector).limit(QUERY_VECTOR_LIMIT + 1).collect()
-    if len(rows) > QUERY_VECTOR_LIMIT:
-        raise ValueError(f"more than {QUERY_VECTOR_LIMIT} query vectors: run them in batches")
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    block = F.pmod(F.xxhash64(query_id), F.lit(blocks))
+    parts = [_vector_topk(corpus, queries.where(block == b), k, vec_id, vector, query_id) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _vector_topk(corpus: DataFrame, queries: DataFrame, k: int, vec_id: str, vector: str, query_id: str) -> DataFrame:
+    """``vector_topk`` for one block of queries."""
+    rows = queries.select(query_id, vector).collect()
+    if not rows:
+        empty = corpus.sparkSession.createDataFrame([], f"{query_id} {queries.schema[query_id].dataType.simpleString()}, {vec_id} {corpus.schema[vec_id].dataType.simpleString()}, score double")
+        return topk_per_group(empty, [query_id], [F.desc("score"), F.asc(vec_id)], k)
     ids = [r[0] for r in rows]
     matrix = np.array([r[1] for r in rows], dtype=np.float64)
     matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
