@@ -259,16 +259,15 @@ def dose_response(
 ) -> DataFrame:
     """Per quantile bin of the dose: mean dose, (adjusted) mean response, ±1.96 se, count.
 
-    Equal edges are merged. With confounders the response of a bin is the
+    ``bins`` quantile bins whatever the number of rows; equal edges are merged, bins without rows and empty input give none. With confounders the response of a bin is the
     intercept of its own regression, its spread that of the residuals.
     """
     clean = df.select(dose, outcome, *confounders).na.drop()
-    n = clean.count()
-    if n < bins * 2:
-        bins = max(2, n // 5)
     probs = {f"q{i}": i / bins for i in range(bins + 1)}
     edge_row = quantiles(clean, [], dose, probs, hot_rows).first()
-    edges = sorted({edge_row[k] for k in probs})
+    edges = sorted({edge_row[k] for k in probs if edge_row is not None and edge_row[k] is not None})
+    if not edges:
+        return df.sparkSession.createDataFrame([], "bin int, dose double, response double, lower double, upper double, n long")
     index = F.lit(len(edges) - 2)
     for i in range(len(edges) - 3, -1, -1):
         index = F.when(F.col(dose) <= edges[i + 1], i).otherwise(index)

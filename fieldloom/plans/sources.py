@@ -169,11 +169,10 @@ def _(t):
     )
 
 
-@query("xf_era5_grid", sql_with("pixels", """, g AS (SELECT raster_id, band, "row" AS r, col AS c, value FROM pixels),
-    n AS (SELECT raster_id, greatest(1, count(DISTINCT r) // 50) AS step FROM g GROUP BY 1)
+@query("xf_era5_grid", sql_with("pixels", """, g AS (SELECT raster_id, band, "row" AS r, col AS c, value FROM pixels)
     SELECT CASE band WHEN 3 THEN 'temperature' ELSE 'pressure' END AS variable, CASE band WHEN 3 THEN '°C' ELSE 'hPa' END AS unit,
       round(CASE band WHEN 3 THEN value - 273.15 ELSE value / 100 END, 4) AS value, CAST(r AS DOUBLE) / 2 AS latitude, CAST(c AS DOUBLE) / 4 AS longitude, g.raster_id AS raster
-    FROM g JOIN n ON g.raster_id = n.raster_id WHERE r % step = 0 AND c % step = 0 AND value <> -9999"""))
+    FROM g WHERE value <> -9999"""))
 def _(t):
     nan = F.when(F.col("value") == -9999, F.lit(float("nan"))).otherwise(F.col("value"))
     lines = t.pixels.groupBy("raster_id", "band", "row").agg(

@@ -104,24 +104,21 @@ def air_records(records: DataFrame) -> DataFrame:
     return out.where("latitude IS NOT NULL AND longitude IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL")
 
 
-def grid_records(grids: DataFrame, per_axis: int = 50) -> DataFrame:
+def grid_records(grids: DataFrame, stride: int = 1) -> DataFrame:
     """Gridded fields (variable, time, lats, lons, values[][]) -> point observations.
 
-    Both axes keep every n-th index with n = max(1, rows // per_axis); NaN cells
-    are skipped; values are converted and rounded to 4 digits. The row arrays
-    are exploded before the cells are, so one grid row is the largest unit.
+    All cells by default; a ``stride`` keeps every so many indices of both axes, whatever the grid's size. NaN cells are
+    skipped; values are converted and rounded to 4 digits. The row arrays are exploded before the cells are, so one grid
+    row is the largest unit.
     """
     known = grids.withColumn("_name", _lookup(F.col("variable"), {k: v for k, (v, _) in GRID_VARIABLES.items()})).withColumn(
         "_unit", _lookup(F.col("variable"), {k: u for k, (_, u) in GRID_VARIABLES.items()})
     ).where(F.col("_name").isNotNull())
-    step = F.greatest(F.lit(1), F.floor(F.size("lats") / per_axis)).cast("int")
-    rows = known.withColumn("_step", step).select(
-        "variable", "_name", "_unit", "time", "lats", "lons", "_step", F.posexplode("values").alias("_i", "_row")
-    ).where(F.col("_i") % F.col("_step") == 0)
+    rows = known.select("variable", "_name", "_unit", "time", "lats", "lons", F.posexplode("values").alias("_i", "_row")).where(F.col("_i") % stride == 0)
     cells = rows.select(
-        "variable", "_name", "_unit", "time", F.get("lats", F.col("_i")).alias("latitude"), "lons", "_step",
+        "variable", "_name", "_unit", "time", F.get("lats", F.col("_i")).alias("latitude"), "lons",
         F.posexplode("_row").alias("_j", "raw"),
-    ).where((F.col("_j") % F.col("_step") == 0) & F.col("raw").isNotNull() & ~F.isnan("raw"))
+    ).where((F.col("_j") % stride == 0) & F.col("raw").isNotNull() & ~F.isnan("raw"))
     value, unit = unit_convert(F.col("variable"), F.col("_unit"), F.col("raw"))
     return cells.select(
         F.col("_name").alias("variable"), F.round(value, 4).alias("value"), unit.alias("unit"), "latitude",

@@ -135,7 +135,8 @@ def test_grid_stride_and_nan(spark):
     values[2][4] = float("nan")
     df = spark.createDataFrame([("2m_temperature", 0, [float(i) for i in range(100)], [float(i) for i in range(100)], values), ("unknown", 0, [], [], [])],
                                "variable string, time int, lats array<double>, lons array<double>, values array<array<double>>")
-    out = transforms.grid_records(df)
+    assert transforms.grid_records(df).count() == 100 * 100 - 1  # every cell, unless a stride is asked for
+    out = transforms.grid_records(df, stride=2)
     assert out.count() == 50 * 50 - 1 and out.where("latitude % 2 <> 0 OR longitude % 2 <> 0").count() == 0
     assert out.where("latitude = 2 AND longitude = 6").first()["value"] == pytest.approx(2006 - 273.15)
 
