@@ -76,7 +76,7 @@ def test_stages_take_an_empty_table(spark, tables):
 
 
 def test_stages_take_more_columns_and_odd_rows(spark, tables):
-    odd = tables.documents.limit(40).selectExpr("*", "1 AS score", "'k' AS key", "doc_id AS id")
+    odd = tables.documents.limit(40).selectExpr("*", "if(doc_id IS NULL, NULL, 1) AS score", "if(doc_id IS NULL, NULL, 'k') AS key", "doc_id AS id")
     extra = spark.createDataFrame([(None, None, None, None, None, None, None, None), (7, "", "en", "src0", 0, 1, "k", 7), (7, "", "en", "src0", 0, 1, "k", 7)], odd.schema)
     docs = odd.unionByName(extra)
     for _, stage in cp.STAGES[:-1]:
