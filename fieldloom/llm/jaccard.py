@@ -310,13 +310,10 @@ def links(sets: DataFrame, sets_of, texts_of, words: int, percent: int, block: i
         regions = stored(regions, "regions")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK, tiled: int = TILED) -> DataFrame:
-    """Classes of documents whose shingle sets have ``intersection / union >= percent / 100``, linked or through others.
+def classes_of(docs: DataFrame, words: int, percent: int, block: int, tiled: int) -> tuple[DataFrame, DataFrame]:
+    """The set (id, n) of every row of ``docs`` (doc_id, text_hash), and every worded set's class: id, class, row.
 
-    ``docs`` needs doc_id and text. Returns, in a row for each row of ``docs``: doc_id, text_hash, n_shingles,
-    component_id, the smallest doc_id of the class. Texts that are null or hold no word have no shingles and are a class of
-    their own. Repeated rows and equal sets are one class; null ids never name a class unless all its ids are null. An
-    empty table gives none.
+    A class is named by one of its sets, never by a doc_id; row (null, doc_id, text_hash) is its least one.
     """
     texts = bounded_batches(docs.select("doc_id", text_of("text").alias("text")).withColumn("text_hash", F.xxhash64("text")))
     common = common_shingles(texts, words)
@@ -336,24 +333,35 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         return sieved(texts, F.col("text_hash"), wanted, F.col("wanted_hash")).join(wanted, same).select("id", "text").dropDuplicates(["id"])
 
     found = links(sets.select("id", "n", "anchors"), sets_of, texts_of, words, percent, block, tiled)
-    plain = first.select("id", F.col("row.doc_id").alias("least"))
     if found is None:
-        classes = plain.select("id", F.col("least").alias("component_id"))
-    else:
-        tied = plain.join(components(found), F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("component", "id").alias("comp"))
-        classes = tied.join(tied.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("id", "component_id")
-    out = named.select("doc_id", "text_hash", "id", "n").join(classes, "id", "left")
+        return named, first.select("id", F.col("id").alias("class"), "row")
+    tied = first.join(components(found), F.col("id") == F.col("node"), "left").select("id", "row", F.coalesce("component", "id").alias("class"))
+    return named, tied.select("id", "class").join(tied.groupBy("class").agg(F.min("row").alias("row")), "class").select("id", "class", "row")
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK, tiled: int = TILED) -> DataFrame:
+    """Classes of documents whose shingle sets have ``intersection / union >= percent / 100``, linked or through others.
+
+    ``docs`` needs doc_id and text. Returns, in a row for each row of ``docs``: doc_id, text_hash, n_shingles,
+    component_id, the smallest doc_id of the class. Texts that are null or hold no word have no shingles and are a class of
+    their own. Repeated rows and equal sets are one class; null ids never name a class unless all its ids are null. An
+    empty table gives none.
+    """
+    named, classes = classes_of(docs, words, percent, block, tiled)
+    out = named.select("doc_id", "text_hash", "id", "n").join(classes.select("id", F.col("row.doc_id").alias("component_id")), "id", "left")
     return out.select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, **how) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK, tiled: int = TILED) -> DataFrame:
     """``docs`` with one row of each class: the one whose doc_id names it. Of rows that repeat it, one stays.
 
+    Classes are told apart by their sets: rows with null or repeated ids stay where their texts are of different classes.
     Documents without words are classes of their own, row by row, and stay.
     """
-    kept = near_duplicates(docs, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash", "n_shingles").dropDuplicates(["doc_id", "text_hash"])
+    named, classes = classes_of(docs, words, percent, block, tiled)
+    worded = classes.select("row.doc_id", "row.text_hash", "class").distinct()
+    kept = worded.unionByName(named.where("n = 0").select("doc_id", "text_hash", F.lit(None).cast("long").alias("class")).distinct())
     left = docs.withColumn("text_hash_", F.xxhash64(text_of("text"))).alias("d")
     right = kept.alias("k")
-    rows = left.join(right, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.text_hash_") == F.col("k.text_hash"))).select("d.*", F.col("k.n_shingles").alias("n_shingles_"))
-    worded = rows.where("n_shingles_ > 0").dropDuplicates(["doc_id"])
-    return worded.unionByName(rows.where("n_shingles_ = 0")).drop("text_hash_", "n_shingles_")
+    rows = left.join(right, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.text_hash_") == F.col("k.text_hash"))).select("d.*", F.col("k.class").alias("class_"))
+    return rows.where("class_ IS NOT NULL").dropDuplicates(["class_"]).unionByName(rows.where("class_ IS NULL")).drop("text_hash_", "class_")

@@ -73,6 +73,20 @@ def test_one_of_each_class_stays(spark):
     assert near_duplicates(table.limit(0)).collect() == [] and one_of_each(table.limit(0)).collect() == []
 
 
+def test_classes_stay_apart_where_ids_are_null_or_repeated(spark):
+    docs = [(None, "a b c d e f"), (None, "g h i j k l"), (None, "g h i j k l"), (None, "m n o p q r"), (None, "m n o p q r"), (4, "m n o p q r")]
+    docs += [(5, "one two three four five six"), (5, "seven eight nine ten eleven twelve"), (5, "seven eight nine ten eleven twelve"), (6, "ONE two three four five six")]
+    docs += [(None, ""), (None, None), (5, " ")]
+    linked = " ".join(f"w{k}" for k in range(60))
+    for more in ([], [(None, linked), (None, linked + " tail"), (7, linked + " other"), (7, "alone among all these texts")]):
+        table = spark.createDataFrame([(*d, 1) for d in docs + more], "doc_id long, text string, id int")
+        want = [(None, "a b c d e f"), (None, "g h i j k l"), (4, "m n o p q r"), (5, "one two three four five six"), (5, "seven eight nine ten eleven twelve"), (None, ""), (None, None), (5, " ")]
+        want += [(7, linked + " other"), (7, "alone among all these texts")] if more else []
+        out = one_of_each(table)
+        assert out.columns == table.columns
+        assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_no_shared_shingles(spark):
     table = spark.createDataFrame([(1, "a b c d e"), (2, "f g h i j")], "doc_id long, text string")
     assert sorted(tuple(r)[0::3] for r in near_duplicates(table).collect()) == [(1, 1), (2, 2)]
