@@ -1,10 +1,13 @@
 """Sampled SentencePiece segmentations: forward filtering, backward sampling over the piece lattice.
 
-Text is cut before every run of spaces (and after ``CUT`` characters without one); pieces do not cross these cuts. All
-segmentations of such a segment are a lattice of the vocabulary's pieces, characters without a piece going through byte
-pieces. Forward filtering adds up the weights of all ways to each place of each distinct segment; backward sampling then
-draws, for each segment of each text, the last piece in proportion to the ways through it, and so on to the front. That
-is an exact sample of the whole segmentation.
+Text is cut before every run of spaces and nowhere else, so a segment is as long as the text has it; pieces do not cross
+these cuts. All segmentations of such a segment are a lattice of the vocabulary's pieces, characters without a piece going
+through byte pieces. Forward filtering adds up the weights of all ways to each place of each distinct segment; backward
+sampling then draws, for each segment of each text, the last piece in proportion to the ways through it, and so on to the
+front. That is an exact sample of the whole segmentation.
+
+Segments of up to ``WIDE`` characters are walked together, place by place. A longer one is walked alone through windows
+that overlap by the longest piece: the forward sums of all its places are kept, the lattice only of the window at hand.
 
 The random number of a draw is a hash of the row's key, the segment's place in its text and the step, so a text gets the
 same pieces wherever and whenever it is encoded. Decoding gives back every text exactly: spaces are the vocabulary's
@@ -15,6 +18,8 @@ A unigram model's scores are log probabilities; a merge model's are ranks, which
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +33,8 @@ from fieldloom.llm.shingles import STEP, mixed
 from fieldloom.llm.wordpieces import blocks
 
 MARK, LITERAL_MARK = 0x2581, 0x110000
-CUT = 48
+#: characters of a segment from which on it is walked alone, and of its windows; neither changes what is drawn from
+WIDE, WINDOW = 256, 1 << 14
 #: a byte costs this much more than the rarest piece
 BYTE_COST = 2.0
 #: characters of text in a block, and bytes of a batch; both only bound memory
@@ -43,6 +49,12 @@ def _symbols(cps: np.ndarray) -> np.ndarray:
     return mixed(cps.astype(np.uint64) + np.uint64(0x51ED27))
 
 
+def _uniform(seeds: np.ndarray, steps: np.ndarray | int) -> np.ndarray:
+    """Numbers between 0 and 1 for a draw's seed and step."""
+    step = np.atleast_1d(np.asarray(steps, np.uint64)) + np.uint64(1)
+    return (mixed(seeds + step * STEP) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
 class Lattice:
     """The pieces of a model file, ready to be looked up by hash."""
 
@@ -116,12 +128,32 @@ class Lattice:
         starts[bounds[:-1][lengths > 0]] = True
         starts[1:] |= space[1:] & ~space[:-1]
         at = np.flatnonzero(starts)
-        inner = np.arange(len(cps)) - np.repeat(at, np.diff(np.append(at, len(cps))))
-        starts |= inner % CUT == 0
-        at = np.flatnonzero(starts)
         size = np.diff(np.append(at, len(cps)))
+        doc = np.searchsorted(bounds, at, "right") - 1
+        seed = mixed(keys[doc] + (at - bounds[doc]).astype(np.uint64) * STEP)
+        wide = size > WIDE
+        drawn = []
+        for k in np.flatnonzero(wide).tolist():
+            pieces, letters = self._alone(cps[at[k] : at[k] + size[k]], seed[k : k + 1])
+            drawn.append((np.full(len(pieces), k), np.arange(len(pieces)), pieces, letters))
+        if not wide.all():
+            short = np.flatnonzero(~wide)
+            segment, *found = self._together(cps[np.repeat(~wide, size)] if wide.any() else cps, size[short], seed[short])
+            drawn.append((short[segment], *found))
+        segment, steps, pieces, letters = (np.concatenate(c) for c in zip(*drawn, strict=True))
+        many = np.bincount(segment, minlength=len(at))
+        behind = np.cumsum(many)
+        ids, letter = np.empty(len(segment), np.int64), np.empty(len(segment), np.uint32)
+        to = behind[segment] - 1 - steps
+        ids[to], letter[to] = pieces, letters
+        per_text = np.diff(np.concatenate([[0], np.cumsum(np.bincount(doc, many, len(texts)))])).round().astype(np.int64)
+        return self._with_bytes(ids, letter, per_text)
+
+    def _together(self, cps: np.ndarray, size: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """segment, step (from its end), piece, first character of all draws; ``cps``: segments of these sizes, one after the other."""
+        at = np.cumsum(size) - size
         inner = np.arange(len(cps)) - np.repeat(at, size)
-        names = np.add.reduceat(_symbols(cps) * _place_weights(CUT)[inner], at)
+        names = np.add.reduceat(_symbols(cps) * _place_weights(WIDE)[inner], at)
         coded = pa.array(names).dictionary_encode()
         kind = np.asarray(coded.indices)
         first = np.empty(len(coded.dictionary), np.int64)
@@ -150,7 +182,7 @@ class Lattice:
         ways[head] = 0
         share = np.zeros(len(start))
         by_depth = np.argsort(depth[stop], kind="stable")
-        cuts = np.searchsorted(depth[stop][by_depth], np.arange(1, CUT + 2))
+        cuts = np.searchsorted(depth[stop][by_depth], np.arange(1, WIDE + 2))
         for a, b in zip(cuts, cuts[1:], strict=False):
             e = by_depth[a:b]
             if not len(e):
@@ -170,26 +202,64 @@ class Lattice:
         limit[np.append(group[1:], len(stop)) - 1] = stop[np.append(group[1:], len(stop)) - 1] + 1.0
 
         # backward: a draw for every segment of every text that has not come to its front
-        doc = np.searchsorted(bounds, at, "right") - 1
-        seed = mixed(keys[doc] + (at - bounds[doc]).astype(np.uint64) * STEP)
         todo = np.argsort(kind, kind="stable")
         state, drawn, step = (head + own)[kind[todo]], [], 0
         while len(todo):
-            u = (mixed(seed[todo] + np.uint64((step + 1) * int(STEP) % 2**64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            e = np.searchsorted(limit, state + u, "right")
+            e = np.searchsorted(limit, state + _uniform(seed[todo], step), "right")
             drawn.append((todo, piece[e], padded[start[e]]))
             state = start[e]
             more = state > head[kind[todo]]
             todo, state, step = todo[more], state[more], step + 1
-        segment = np.concatenate([d[0] for d in drawn])
         steps = np.repeat(np.arange(len(drawn)), [len(d[0]) for d in drawn])
-        many = np.bincount(segment, minlength=len(at))
-        behind = np.cumsum(many)
-        ids, letter = np.empty(len(segment), np.int64), np.empty(len(segment), np.uint32)
-        to = behind[segment] - 1 - steps
-        ids[to], letter[to] = np.concatenate([d[1] for d in drawn]), np.concatenate([d[2] for d in drawn])
-        per_text = np.diff(np.concatenate([[0], np.cumsum(np.bincount(doc, many, len(texts)))])).round().astype(np.int64)
-        return self._with_bytes(ids, letter, per_text)
+        segment, pieces, letters = (np.concatenate(c) for c in zip(*drawn, strict=True))
+        return segment, steps, pieces, letters
+
+    def _alone(self, cps: np.ndarray, seed: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+        """Piece and first character of all draws of one segment, from its end to its front."""
+        n = len(cps)
+
+        def into(a: int, b: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """The edges that stop behind ``a`` and up to ``b``, by stop; places count from the first one given."""
+            low = max(0, a - self.longest)
+            start, stop, piece, weight = self.edges(cps[low:b], np.full(b - low, b - low))
+            order = np.argsort(stop, kind="stable")
+            order = order[np.searchsorted(stop[order], a - low, "right") :]
+            return low, start[order], stop[order], piece[order], weight[order]
+
+        # forward: every place can be reached, since each character is a piece or bytes
+        ways = np.zeros(n + 1)
+        for a in range(0, n, window):
+            b = min(a + window, n)
+            low, start, stop, _, weight = into(a, b)
+            known, begins, costs = ways[low : a + 1].tolist(), start.tolist(), weight.tolist()
+            group = [*np.flatnonzero(np.diff(stop, prepend=-1)).tolist(), len(stop)]
+            for i, j in zip(group, group[1:], strict=False):
+                values = [known[s] + w for s, w in zip(begins[i:j], costs[i:j], strict=True)]
+                top = max(values)
+                known.append(top + math.log(sum(math.exp(v - top) for v in values)))
+            ways[a + 1 : b + 1] = known[a + 1 - low :]
+
+        # backward
+        pieces, places, state, step = [], [], n, 0
+        for a in range((n - 1) // window * window, -1, -window):
+            if state <= a:
+                continue
+            b = min(a + window, n)
+            low, start, stop, piece, weight = into(a, b)
+            upto = np.cumsum(np.exp(ways[start + low] + weight - ways[stop + low])).tolist()
+            first = np.searchsorted(stop, np.arange(a + 1, b + 2) - low).tolist()
+            begins, chosen = start.tolist(), []
+            numbers = _uniform(seed, np.arange(step, step + b - a)).tolist()
+            while state > a:
+                i, j = first[state - a - 1], first[state - a]
+                before = upto[i - 1] if i else 0.0
+                e = bisect_right(upto, before + numbers[len(chosen)] * (upto[j - 1] - before), i, j - 1)
+                chosen.append(e)
+                state = low + begins[e]
+            step += len(chosen)
+            pieces.append(piece[chosen])
+            places.append(start[chosen] + low)
+        return np.concatenate(pieces), cps[np.concatenate(places)]
 
     def _with_bytes(self, ids: np.ndarray, letters: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters that have no piece as the pieces of their bytes."""

@@ -42,3 +42,36 @@ def test_samples_follow_the_lattice():
             exact[tuple(found)] = math.exp(sum(pieces.weight[i] for i in found))
     total = sum(exact.values())
     assert set(got) <= set(exact) and all(abs(got[k] / n - v / total) < 0.01 for k, v in exact.items())
+
+
+def test_long_segments_follow_the_lattice():
+    pieces, n = lattice(MODEL, 1.0), 1500
+    edges = lambda text: pieces.edges(np.frombuffer(text.encode("utf-32-le"), "<u4"), np.full(len(text), len(text)))
+    for text in ("other" * 24, "www.example.org/another/path?key=value&more=" * 3, "www.example.org/another/path?key=value&more=" * 8):
+        # how likely a piece is to run over each place, by sums from both ends in plain loops
+        found = list(zip(*(x.tolist() for x in edges(text)), strict=True))
+        front, back = [0.0] + [-math.inf] * len(text), [-math.inf] * len(text) + [0.0]
+        for a, b, _, w in sorted(found, key=lambda x: x[1]):
+            front[b] = np.logaddexp(front[b], front[a] + w)
+        for a, b, _, w in sorted(found, key=lambda x: -x[0]):
+            back[a] = np.logaddexp(back[a], back[b] + w)
+        want = np.zeros(len(text) + 1)
+        for a, b, _, w in found:
+            want[a + 1 : b] += math.exp(front[a] + w + back[b] - front[-1])
+        ids, many = pieces.block(pa.array([text] * n), np.random.default_rng(2).integers(0, 2**63, n).astype(np.uint64))
+        assert set(ids.tolist()) <= {p for _, _, p, _ in found}
+        ends = np.cumsum(pieces.raw_sizes[ids])
+        crossed = n - np.bincount(np.concatenate([[0], ends]) % len(text), minlength=len(text))[1:]
+        assert len(ends) == many.sum() and want[48::48].max() > 0.05
+        assert np.abs(crossed / n - want[1 : len(text)]).max() < 0.08
+
+
+def test_windows_do_not_change_a_draw():
+    pieces = lattice(MODEL, 1.0)
+    cps = np.frombuffer(("https://example.org/漢字/x🙂\n\t" * 30 + "z" * 400).encode("utf-32-le"), "<u4")
+    for key in range(20):
+        seed = np.array([key * 7919], np.uint64)
+        whole, alone = pieces._alone(cps, seed), pieces._alone(cps, seed, 37)
+        segment, steps, ids, letters = pieces._together(cps[:250], np.array([250]), seed)
+        short = pieces._alone(cps[:250], seed)
+        assert all((a == b).all() for a, b in zip(whole, alone)) and (short[0] == ids).all() and (short[1] == letters).all()
