@@ -12,6 +12,7 @@ QUERY_MODULES = (
     "query_toxicity",
     "query_secrets",
     "query_quality",
+    "query_bpe",
 )
 
 
