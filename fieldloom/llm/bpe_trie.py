@@ -26,8 +26,8 @@ from fieldloom.llm.common import bounded_batches, text_of
 from fieldloom.llm.wordpieces import blocks, gathered
 
 #: bytes of text in a block, and chunks that a worker remembers; both only bound memory
-BLOCK = 8 << 20
-REMEMBERED = 300_000
+BLOCK = 4 << 20
+REMEMBERED = 150_000
 #: fixed value: the words of the byte-level kind
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: below this character, what is a letter or a number is the same in every version of the tables
@@ -63,6 +63,27 @@ class _Pool:
         return gathered(self.numbers, np.array(self.starts, np.int64), np.array(self.counts, np.int64), rows)
 
 
+class TokenBytes:
+    """The bytes of every id of a byte-level file, which is all that decoding needs."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        byte = byte_of_char()
+        tokens = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+        of_id = {i: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t, i in tokens.items()}
+        self.lengths = np.zeros(max(of_id) + 1, np.int64)
+        self.lengths[list(of_id)] = [len(b) for b in of_id.values()]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.pool = np.frombuffer(b"".join(of_id.get(i, b"") for i in range(len(self.lengths))), np.uint8)
+
+    def text(self, ids: np.ndarray) -> str:
+        """The text of ``ids``; ids of no token stand for nothing, and bytes that are no UTF-8 become U+FFFD."""
+        ids = ids[ids < len(self.lengths)].astype(np.int64)
+        found, _, _ = gathered(self.pool, self.starts, self.lengths, ids)
+        return found.tobytes().decode("utf-8", "replace")
+
+
 class TrieEncoder:
     """Ids of a byte-level BPE file of the tokenizers library."""
 
@@ -99,11 +120,6 @@ class TrieEncoder:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
             raise ValueError(f"{path} has added tokens that change their surroundings")
-        every = self.bytes | {i: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t, i in self.added.items()}
-        lengths = np.zeros(max(every) + 1, np.int64)
-        lengths[list(every)] = [len(b) for b in every.values()]
-        self.lengths, self.starts = lengths, np.cumsum(lengths) - lengths
-        self.pool_bytes = np.frombuffer(b"".join(every.get(i, b"") for i in range(len(lengths))), np.uint8)
         self.words = regex.compile(PATTERN)
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.cutter = Tokenizer.from_file(path).pre_tokenizer
@@ -269,21 +285,15 @@ class TrieEncoder:
             part += n
         return np.concatenate([*out, np.zeros(0, np.uint32)]), np.array(total, np.int64)
 
-    def text(self, ids: np.ndarray) -> str:
-        """The text of ``ids``; ids of no token stand for nothing, and bytes that are no UTF-8 become U+FFFD."""
-        ids = ids[ids < len(self.lengths)].astype(np.int64)
-        found, _, _ = gathered(self.pool_bytes, self.starts, self.lengths, ids)
-        return found.tobytes().decode("utf-8", "replace")
-
 
-def encoder(path: str) -> TrieEncoder:
-    """The worker's encoder for ``path``. It is kept on the tokenizers module, which lives as long as the worker."""
+def kept(kind: type, path: str):
+    """The worker's ``kind`` for ``path``. It is kept on the tokenizers module, which lives as long as the worker."""
     import tokenizers
 
-    kept = tokenizers.__dict__.setdefault("_trie_encoders", {})
-    if path not in kept:
-        kept[path] = TrieEncoder(path)
-    return kept[path]
+    held = tokenizers.__dict__.setdefault("_tries", {})
+    if (kind.__name__, path) not in held:
+        held[kind.__name__, path] = kind(path)
+    return held[kind.__name__, path]
 
 
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -296,7 +306,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder = kept(TrieEncoder, path)
         for batch in batches:
             for part in blocks(batch, "text", BLOCK):
                 ids, sizes = coder.block(part.column("text"))
@@ -305,7 +315,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 binary = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), binary.cast(pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "ids", "n_tokens"])
 
-    rows = bounded_batches(docs).select("doc_id", text_of(text).alias("text"))
+    rows = bounded_batches(docs, 4 << 20).select("doc_id", text_of(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids binary, n_tokens long")
 
 
@@ -313,11 +323,11 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """``rows`` of ``encode`` (doc_id, ids, n_tokens) with ``decoded``, the text of the ids; null ids give the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder = kept(TokenBytes, path)
         for batch in batches:
-            for part in blocks(batch, "ids", 4 * BLOCK):
+            for part in blocks(batch, "ids", BLOCK):
                 texts = [coder.text(np.frombuffer(b, "<u4")) for b in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
 
     slim = rows.select("doc_id", F.coalesce(F.col(ids), F.lit(b"")).alias("ids"), "n_tokens")
-    return bounded_batches(slim).mapInArrow(run, "doc_id long, ids binary, n_tokens long, decoded string")
+    return bounded_batches(slim, 4 << 20).mapInArrow(run, "doc_id long, ids binary, n_tokens long, decoded string")
