@@ -13,6 +13,7 @@ QUERY_MODULES = (
     "query_secrets",
     "query_quality",
     "query_bpe",
+    "query_alignment",
 )
 
 
