@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -27,6 +28,11 @@ def libraries():
     return a, sentencepiece.SentencePieceProcessor(model_file=PIECES)
 
 
+@pytest.fixture(scope="module")
+def who():
+    return alignment.Aligner(BYTES, PIECES)
+
+
 def brute(libraries, rows):
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, digest) of every row, text by text and pair by pair."""
     a, b = libraries
@@ -94,11 +100,10 @@ def test_against_brute_force(spark, libraries):
     assert align(docs.limit(0), BYTES, PIECES).collect() == []
 
 
-def test_many_blocks(spark, libraries, tables, monkeypatch):
+def test_many_blocks(spark, libraries, who, tables, monkeypatch):
     rows = [(r.doc_id, r.text) for r in tables.documents.select("doc_id", "text").collect()]
     want = sorted(brute(libraries, rows), key=repr)
     assert result(entry_module.queries()["op11_alignment"](spark, DATA)) == want
-    who = alignment.Aligner(BYTES, PIECES)
     monkeypatch.setattr(alignment, "aligner", lambda *_: who)
     monkeypatch.setattr(alignment, "PART", 1 << 12)
     monkeypatch.setattr(alignment, "BLOCK", 1 << 14)
@@ -115,8 +120,6 @@ def test_many_blocks(spark, libraries, tables, monkeypatch):
     for p, n in held.items():
         top[p >> 32] = max(top.get(p >> 32, 0), n)
     scored = []
-    import pyarrow as pa
-
     for b in made:
         scored.append(b.append_column("total", pa.array([held.get(p) for p in b.column("pair").to_pylist()], pa.int64())).append_column("best", pa.array([None if p is None else int(held[p] == top[p >> 32]) for p in b.column("pair").to_pylist()], pa.int64())))
     got = [tuple(r[c] for c in NAMES) for b in alignment._scored(iter(scored)) for r in b.to_pylist()]
@@ -140,11 +143,8 @@ def test_groups_and_overlaps(a, b):
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\tab'st=0é日▁.,"), st.characters(codec="utf-8")), max_size=40), min_size=1, max_size=4))
-def test_chunks_encode_as_the_whole(libraries, texts):
-    import pyarrow as pa
-
+def test_chunks_encode_as_the_whole(libraries, who, texts):
     a, b = libraries
-    who = test_chunks_encode_as_the_whole.__dict__.setdefault("who", alignment.Aligner(BYTES, PIECES))
     names, places, bounds = alignment.chunks(pa.array(texts, pa.string()), led=True)
     pieces, (ids, edges) = who._pieces(names), who.a.chunk_ids(names)
     for k, text in enumerate(texts):
