@@ -14,6 +14,7 @@ QUERY_MODULES = (
     "query_quality",
     "query_bpe",
     "query_alignment",
+    "query_turn_blocks",
 )
 
 
