@@ -1,4 +1,4 @@
-"""Where users plug in their own Python: transforms, per-group fits, aggregates, table functions, model scoring."""
+"""Where users plug in their own Python: transforms, table functions, model scoring. Per-key work is in ``mergeable``."""
 
 from __future__ import annotations
 
@@ -10,11 +10,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.operators.scale import largest_group
-
-GROUP_ROWS = 2_000_000  # rows of one key that one Python task may hold
-
-
 def chain(df: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """User transforms, one after another, as one lazy plan."""
     return reduce(lambda acc, step: acc.transform(step), steps, df)
@@ -25,26 +20,6 @@ def scalar(fn: Callable[..., pd.Series], returns: str) -> Callable[..., Column]:
     return F.pandas_udf(fn, returns)
 
 
-def per_group(df: DataFrame, keys: Sequence[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, max_rows: int = GROUP_ROWS) -> DataFrame:
-    """User function per key. The size of the largest key is checked first: a larger one does not fit one task."""
-    largest = largest_group(df, keys)
-    if largest > max_rows:
-        raise ValueError(f"a key has {largest} rows, over the {max_rows} one task may hold: aggregate before, or use a finer key")
-    return df.groupBy(*keys).applyInPandas(fn, schema)
-
-
-def grouped_metric(df: DataFrame, keys: Sequence[str], fn: Callable[[pd.Series], float], value: str, name: str, max_rows: int = GROUP_ROWS) -> DataFrame:
-    """User metric of one column per key (same size check)."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = {k: [pdf[k].iloc[0]] for k in keys}
-        row[name] = [float(fn(pdf[value]))]
-        return pd.DataFrame(row)
-
-    types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return per_group(df.select(*keys, value), keys, one, f"{types}, {name} double", max_rows)
-
-
 def batch_score(
     df: DataFrame, key: str, features: Sequence[str], load: Callable[[], Callable[[np.ndarray], np.ndarray]], batch: int = 64
 ) -> DataFrame:

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from fieldloom.operators import callables as op
+from fieldloom.operators.mergeable import Aggregate, aggregate, fit_apply
 from fieldloom.plans.aggregates import GINI_SQL, rounded
 from fieldloom.plans.registry import query
 from fieldloom.plans.scalars import TILE_SQL
@@ -34,25 +35,80 @@ def _(t):
     return t.points.select("id", op.scalar(cell, "string")(F.col("lon"), F.col("lat")).alias("cell"))
 
 
-@query("udf_grouped", sql_with("obs", "SELECT station, round(regr_slope(value, event_id), 6) AS slope, count(*) AS n FROM obs GROUP BY 1"))
+def _line(x: str, y: str, *after: str) -> Aggregate:
+    """A least-squares line through (x, y) from mergeable moments about the mean, by pairwise updates."""
+
+    def update(state, rows: pd.DataFrame):
+        u, v = rows[x].to_numpy(float), rows[y].to_numpy(float)
+        mu, mv = u.mean(), v.mean()
+        return merge(state, (len(u), mu, mv, float(((u - mu) ** 2).sum()), float(((u - mu) * (v - mv)).sum())))
+
+    def merge(a, b):
+        n = a[0] + b[0]
+        if not n:
+            return a
+        du, dv, w = b[1] - a[1], b[2] - a[2], a[0] * b[0] / n
+        return n, a[1] + du * b[0] / n, a[2] + dv * b[0] / n, a[3] + b[3] + du * du * w, a[4] + b[4] + du * dv * w
+
+    def finish(s):
+        slope = s[4] / s[3] if s[3] else None
+        full = {"slope": slope, "n": s[0], "at": s[1], "level": s[2]}
+        return [full[c] for c in after]
+
+    return Aggregate(lambda: (0, 0.0, 0.0, 0.0, 0.0), update, merge, finish)
+
+
+#: a third of all rows has one key
+CROWDED = "CASE WHEN user_id % 3 = 0 THEN NULL ELSE user_id END"
+
+
+@query("udf_grouped", f"""WITH o AS (SELECT {CROWDED} AS place, event_id, value FROM events),
+    f AS (SELECT place, regr_slope(value, event_id) AS s, avg(event_id) AS a, avg(value) AS l FROM o GROUP BY 1)
+    SELECT event_id, round(value - coalesce(l + s * (event_id - a), l), 4) AS residual FROM o JOIN f ON o.place IS NOT DISTINCT FROM f.place""")
 def _(t):
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["event_id"].to_numpy(float), pdf["value"].to_numpy(float)
-        xc = x - x.mean()
-        return pd.DataFrame({"station": [pdf["station"].iloc[0]], "slope": [float((xc * (y - y.mean())).sum() / (xc * xc).sum())], "n": [len(x)]})
+    rows = t.events.select(F.expr(CROWDED).alias("place"), "event_id", "value")
+
+    def residuals(key: tuple, line: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        slope, at, level = line
+        expected = level + (0.0 if slope is None or np.isnan(slope) else slope) * (part["event_id"] - at)
+        return pd.DataFrame({"event_id": part["event_id"], "residual": part["value"] - expected})
+
+    agg = _line("event_id", "value", "slope", "at", "level")
+    out = fit_apply(rows, ["place"], ["event_id", "value"], agg, "slope double, at double, level double", residuals, "event_id long, residual double")
+    return rounded(out, 4, "residual")
 
-    out = op.per_group(t.observations.select("station", "event_id", "value"), ["station"], fit, "station long, slope double, n long")
+
+@query("udf_grouped_fit", sql_with("obs", "SELECT station, round(regr_slope(value, event_id), 6) AS slope, count(*) AS n FROM obs GROUP BY 1"))
+def _(t):
+    out = aggregate(t.observations, ["station"], ["event_id", "value"], _line("event_id", "value", "slope", "n"), "slope double, n long")
     return rounded(out, 6, "slope")
 
 
+def _gini(value: str) -> Aggregate:
+    """Gini of ordered values: (rows, sum, sum of rank times value) of a range; a higher range's ranks move by the rows below."""
+
+    def update(state, rows: pd.DataFrame):
+        x = rows[value].to_numpy(float)
+        return merge(state, (len(x), float(x.sum()), float((np.arange(1, len(x) + 1) * x).sum())))
+
+    def merge(a, b):
+        return a[0] + b[0], a[1] + b[1], a[2] + b[2] + a[0] * b[1]
+
+    def finish(s):
+        return [2 * s[2] / (s[0] * s[1]) - (s[0] + 1) / s[0] if s[1] else 0.0]
+
+    return Aggregate(lambda: (0, 0.0, 0.0), update, merge, finish)
+
+
 @query("udf_agg", GINI_SQL.format(k="event_type", x="value", t="events").replace(", count(*) AS n", ""))
 def _(t):
-    def gini(v: pd.Series) -> float:
-        x = np.sort(v.to_numpy(float))
-        n = len(x)
-        return float(2 * (np.arange(1, n + 1) * x).sum() / (n * x.sum()) - (n + 1) / n)
+    return rounded(aggregate(t.events, ["event_type"], ["value"], _gini("value"), "gini double", ["value"]), 6, "gini")
 
-    return rounded(op.grouped_metric(t.events, ["event_type"], gini, "value", "gini"), 6, "gini")
+
+@query("udf_agg_crowded", GINI_SQL.format(k="place", x="value", t=f"(SELECT {CROWDED} AS place, value FROM events)").replace(", count(*) AS n", ""))
+def _(t):
+    rows = t.events.select(F.expr(CROWDED).alias("place"), "value")
+    return rounded(aggregate(rows, ["place"], ["value"], _gini("value"), "gini double", ["value"]), 6, "gini")
 
 
 @query("udtf_tiles", sql_with("points", f""", a AS (SELECT id, {TILE_SQL.format(n=32)} FROM points),

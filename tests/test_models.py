@@ -149,13 +149,6 @@ def test_route_and_evidence(spark):
     assert got[0][:2] == ["food_security", "climate"] and got[1] == list(text.DOMAIN_KEYWORDS)
 
 
-def test_group_size_is_checked(spark):
-    df = spark.range(100).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("v"))
-    assert rows(callables.grouped_metric(df, ["k"], lambda s: s.max(), "v", "m")) == [(0, 98.0), (1, 99.0)]
-    with pytest.raises(ValueError):
-        callables.per_group(df, ["k"], lambda p: p, "k long, v double", max_rows=10)
-
-
 def test_batch_score(spark):
     df = spark.range(200).select("id", F.col("id").cast("double").alias("x"))
     out = callables.batch_score(df, "id", ["x"], lambda: (lambda x: x[:, 0] * 2), batch=7)
