@@ -103,7 +103,7 @@ def _(t):
         merge(flows.alerts(found, rules), number)
 
     flows.run_batches(_observations(t), _name("alerts-run"), each)
-    live = flows.open_alerts(flows.latest(t.spark, f"{path}/table", schema))
+    live = flows.open_alerts(flows.latest(t.spark, f"{path}/table", schema, ["alert_id"], ["valid_from"], ["severity", "valid_until"]))
     return live.select("alert_id", "variable", "severity", text_ts("valid_from").alias("valid_from"), text_ts("valid_until").alias("valid_until"))
 
 
@@ -131,9 +131,39 @@ def _(t):
     return table
 
 
+def _replayed(t, name: str, parts, sink) -> str:
+    """Run a batch function over a folder where ``parts`` of the events land one after the other, and go on each time
+    from the checkpoint; the number of batches that had rows is the number of parts."""
+    landing = f"{shared_dir(t.spark)}/{name}-landing"
+    for part in parts:
+        part.write.mode("append").parquet(landing)
+        flows.run_batches(flows.read_events(t.spark, landing, BASE["events"]), name, sink)
+    return landing
+
+
+#: events that arrive with each of five batches, whatever their time: most batches bring rows older than stored ones
+ARRIVALS = [F.expr(f"event_id % 7 IN ({', '.join(map(str, k))})") for k in ((0, 6), (3,), (1,), (5, 2), (4,))]
+
+
 @query("st_upsert_sink", "SELECT user_id AS station, arg_max(value, row(ts, event_id)) AS value, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ts FROM events GROUP BY 1")
 def _(t):
-    schema = "station BIGINT, value DOUBLE, ts TIMESTAMP"
+    schema, keys, order = "station BIGINT, value DOUBLE, ts TIMESTAMP", ["station"], ["ts", "event_id"]
     path = f"{shared_dir(t.spark)}/{_name('upsert')}"
-    flows.run_batches(_observations(t), _name("upsert-run"), flows.upsert_sink(path, schema, ["station"], None, ["ts", "event_id"]))
-    return flows.latest(t.spark, path, schema).select("station", "value", text_ts("ts").alias("ts"))
+    merge = flows.upsert_sink(path, schema, keys, None, order, max_deltas=2)
+    _replayed(t, _name("upsert-run"), [t.events.where(a) for a in ARRIVALS], lambda batch, n: merge(batch.withColumnRenamed("user_id", "station"), n))
+    return flows.latest(t.spark, path, schema, keys, order).select("station", "value", text_ts("ts").alias("ts"))
+
+
+@query("upsert_lookup", """WITH e AS (SELECT *, CASE event_id % 7 WHEN 0 THEN 0 WHEN 6 THEN 0 WHEN 3 THEN 1 WHEN 1 THEN 2 WHEN 5 THEN 3 WHEN 2 THEN 3 ELSE 4 END AS batch FROM events),
+    l AS (SELECT user_id, batch, arg_max(event_type, row(ts, event_id)) AS event_type FROM e GROUP BY 1, 2)
+    SELECT user_id AS station, arg_min(l.event_type, l.batch) AS first_type, max(v.value) AS value FROM l
+    JOIN (SELECT user_id, arg_max(value, row(ts, event_id)) AS value FROM events GROUP BY 1) v USING (user_id) WHERE user_id % 11 = 3 GROUP BY 1""")
+def _(t):
+    """Some keys of a table after five commits: one column keeps what the first commit gave, one follows the newest row."""
+    from fieldloom.sources.mergetable import MergeTable
+
+    table = MergeTable(t.spark, f"{shared_dir(t.spark)}/{_name('table')}", "station BIGINT, first_type STRING, value DOUBLE", ["station"], ["ts", "event_id"], ["value"], max_deltas=3)
+    rows = t.events.withColumnsRenamed({"user_id": "station", "event_type": "first_type"})
+    for arrival in ARRIVALS:
+        table.apply(rows.where(arrival))
+    return table.lookup(rows.select("station").where("station % 11 = 3"))

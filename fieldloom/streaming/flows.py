@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from fieldloom.functions.scalar import severity_of_z
 from fieldloom.operators.scale import running_sums, same_keys
 from fieldloom.session import shared_dir
-from fieldloom.sources.sinks import upsert
+from fieldloom.sources.mergetable import MergeTable
 
 ENVELOPE = "event_id BIGINT, event_type STRING, ts TIMESTAMP, source STRING, value DOUBLE"
 
@@ -132,39 +132,22 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(n for n in found if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/batch={n}/_SUCCESS")))
 
 
-def upsert_sink(path: str, schema: str, keys: Sequence[str], update: Sequence[str] | None, order: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """Batch function that merges rows into a versioned table: version n is version n−1 with batch n applied.
+def upsert_sink(path: str, schema: str, keys: Sequence[str], update: Sequence[str] | None, order: Sequence[str], buckets: int = 16, max_deltas: int = 4) -> Callable[[DataFrame, int], None]:
+    """Batch function that merges rows into a ``MergeTable``: a batch writes its own rows and the buckets that it fills up.
 
     The table keeps each row's order, so a row that comes late, in whatever batch, does not replace a newer one. A
-    repeated batch starts again from the version before it, so the result is the same however often it runs. Versions
-    before the last two are deleted.
+    repeated batch changes nothing.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = [v for v in versions(spark, path) if v < number]
-        names = spark.createDataFrame([], schema).columns
-        mark = {c: f"_order_{c}" for c in order}
-        changes = batch.select(*names, *[F.col(c).alias(m) for c, m in mark.items()])
-        if before:
-            stored = spark.read.schema(changes.schema).parquet(f"{path}/batch={before[-1]}")
-        else:
-            stored = spark.createDataFrame([], changes.schema)
-        told = None if update is None else [*update, *mark.values()]
-        upsert(stored, changes, keys, told, list(mark.values()), newest=True).write.mode("overwrite").parquet(f"{path}/batch={number}")
-        for old in before[:-1]:
-            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={old}")
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        MergeTable(batch.sparkSession, path, schema, keys, order, update, buckets, max_deltas).apply(batch, number)
 
     return each
 
 
-def latest(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Newest complete version of an upserted table."""
-    have = versions(spark, path)
-    if not have:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/batch={have[-1]}")
+def latest(spark: SparkSession, path: str, schema: str, keys: Sequence[str], order: Sequence[str], update: Sequence[str] | None = None) -> DataFrame:
+    """Newest snapshot of an upserted table."""
+    return MergeTable(spark, path, schema, keys, order, update).read()
 
 
 # ---- anomalies ----------------------------------------------------------------------

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.plans.tables import BASE
+from fieldloom.sources.mergetable import MergeTable
 from fieldloom.streaming import flows
 from tests.conftest import rows
 
@@ -93,8 +94,8 @@ def test_upsert_replay_gives_the_same_table(spark, tmp_path):
     sink(batch((1, "a", 1), (2, "b", 1)), 0)
     sink(batch((1, "c", 2)), 1)
     sink(batch((1, "c", 2)), 1)
-    assert rows(flows.latest(spark, str(tmp_path / "t"), schema), "k", "v") == [(1, "c"), (2, "b")]
-    assert flows.latest(spark, str(tmp_path / "none"), schema).count() == 0
+    assert rows(flows.latest(spark, str(tmp_path / "t"), schema, ["k"], ["o"]), "k", "v") == [(1, "c"), (2, "b")]
+    assert flows.latest(spark, str(tmp_path / "none"), schema, ["k"], ["o"]).count() == 0
 
 
 def test_rows_that_come_late_do_not_replace_newer_ones(spark, tmp_path):
@@ -109,8 +110,8 @@ def test_rows_that_come_late_do_not_replace_newer_ones(spark, tmp_path):
     sink(batch((1, "stale", 2), (2, "y", 1), (3, "z", None)), 1)
     sink(batch((3, "first", 0), (1, "older", 8)), 2)
     sink(batch((3, "late", -1)), 3)
-    assert rows(flows.latest(spark, path, schema), "k", "v") == [(1, "new"), (2, "y"), (3, "first")]
-    assert flows.versions(spark, path) == [2, 3]
+    assert rows(flows.latest(spark, path, schema, ["k"], ["o"], ["v"]), "k", "v") == [(1, "new"), (2, "y"), (3, "first")]
+    assert MergeTable(spark, path, schema, ["k"], ["o"], ["v"]).snapshots() == [2, 3]
 
 
 def test_bad_json_goes_to_rejects(spark):
