@@ -197,46 +197,6 @@ def matching(df: DataFrame, unit: str, treatment: str, outcome: str, confounders
     )
 
 
-def _poisson_weights(row_hash: np.ndarray, replicates: int) -> np.ndarray:
-    """Poisson(1) weight of every (row, replicate): a fixed function of the row's hash and the replicate."""
-    with np.errstate(over="ignore"):
-        z = row_hash.astype(np.uint64)[:, None] + (np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z = z ^ (z >> np.uint64(31))
-    u = (z >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
-    return np.searchsorted(steps, u, side="right").astype(np.float64)
-
-
-def bootstrap_diff(df: DataFrame, unit: str, treatment: str, outcome: str, replicates: int = 200, seed: int = 7) -> DataFrame:
-    """Poisson bootstrap of the difference of means: estimate, 95 % percentile interval, p.
-
-    All replicates come from one pass: a batch yields four sums per replicate.
-    Weights depend on the row id and the replicate only, so a repeated task
-    gives the same result.
-    """
-    rows = df.select(F.xxhash64(F.lit(seed), F.col(unit)).alias("h"), F.col(treatment).cast("double").alias("t"), F.col(outcome).cast("double").alias("y"))
-
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((replicates, 4))
-        for pdf in frames:
-            t, y = pdf["t"].to_numpy(), pdf["y"].to_numpy()
-            cols = np.column_stack([t, t * y, 1 - t, (1 - t) * y])
-            for i in range(0, len(pdf), 4096):
-                w = _poisson_weights(pdf["h"].to_numpy()[i:i + 4096], replicates)
-                sums += w.T @ cols[i:i + 4096]
-        yield pd.DataFrame({"b": np.arange(replicates), "n1": sums[:, 0], "y1": sums[:, 1], "n0": sums[:, 2], "y0": sums[:, 3]})
-
-    per = rows.mapInPandas(partial, "b int, n1 double, y1 double, n0 double, y0 double").groupBy("b").agg(*[F.sum(c).alias(c) for c in ("n1", "y1", "n0", "y0")])
-    effects = per.select((F.try_divide("y1", "n1") - F.try_divide("y0", "n0")).alias("e"))
-    below, above = F.avg((F.col("e") <= 0).cast("double")), F.avg((F.col("e") >= 0).cast("double"))
-    return effects.agg(
-        F.expr("percentile_cont(0.025) within group (order by e)").alias("lower"), F.expr("percentile_cont(0.975) within group (order by e)").alias("upper"),
-        F.stddev_samp("e").alias("se"), F.least(F.lit(1.0), 2 * F.least(below, above)).alias("p_value"), F.count("e").alias("replicates"),
-    )
-
-
 def sensitivity(df: DataFrame, treatment: str, outcome: str, low: float = 1.0, high: float = 3.0, steps: int = 10) -> DataFrame:
     """Bounds under hidden bias Γ: two-sided p when the statistic is moved by ±ln Γ·se.
 
@@ -425,7 +385,12 @@ def fit_structure(df: DataFrame, edges: Sequence[tuple[str, str]]) -> Structural
         parents = [a for a, b in edges if b == v]
         if parents:
             samples[f"fit:{v}"] = [v, *parents]
-    found = moments(df, samples)
+    return structure_from(moments(df, samples), edges)
+
+
+def structure_from(found: dict[str, Moments], edges: Sequence[tuple[str, str]]) -> StructuralModel:
+    """The model that moments give: ``mean:v`` for every variable, ``fit:v`` for those with causes."""
+    names = sorted({v for e in edges for v in e})
     equations = {}
     for v in names:
         parents = [a for a, b in edges if b == v]

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fieldloom.operators import bootstrap
 from fieldloom.operators import causal as op
 from fieldloom.operators.aggregates import pivot_series
+from fieldloom.operators.bootstrap import weight_sql
 from fieldloom.plans.aggregates import CORR_CTE, PAIRS, rounded
 from fieldloom.plans.registry import query
 from fieldloom.plans.scalars import ERF_SQL
-from fieldloom.plans.tables import sql_with
+from fieldloom.plans.tables import sql_with, text_ts
 
 VARIABLES = ["click", "error", "purchase", "signup", "view"]
 CHAIN = [("click", "error"), ("click", "purchase"), ("error", "purchase"), ("purchase", "view"), ("signup", "view")]
@@ -90,9 +92,32 @@ def _(t):
     return rounded(rounded(out, 4, "att", "ate", "se"), 6, "mean_distance", "max_distance")
 
 
-@query("ca_bootstrap")
+REPLICATES = 200
+
+
+def _weights(rows: str) -> str:
+    """CTE of (unit, b, w): the rows as they are (b = -1) and every replicate."""
+    return f"""w AS MATERIALIZED (SELECT unit, b, {weight_sql('unit', 'b', 7)} AS w FROM {rows}, (SELECT unnest(range({REPLICATES})) AS b) UNION ALL SELECT unit, -1, 1 FROM {rows})"""
+
+
+INTERVALS = """round(max(e) FILTER (b = -1), 3) AS value, round(quantile_cont(e, 0.025) FILTER (b >= 0), 3) AS lower, round(quantile_cont(e, 0.975) FILTER (b >= 0), 3) AS upper,
+    round(stddev_samp(e) FILTER (b >= 0), 3) AS se, round(least(1, 2 * least(avg(CAST(e <= 0 AS INT)) FILTER (b >= 0), avg(CAST(e >= 0 AS INT)) FILTER (b >= 0))), 6) AS p_value"""
+EFFECTS = f""", c AS (SELECT avg(outcome) AS y, avg(treated) AS t, avg(balance) AS x, avg(nation) AS z FROM treatment), {_weights('treatment')},
+    r AS (SELECT b, w, t.treated AS t0, t.outcome AS y0, t.outcome - c.y AS y, t.treated - c.t AS t, t.balance - c.x AS x, t.nation - c.z AS z, greatest(0.01, least(0.99, raw)) AS p FROM treatment t JOIN w USING (unit) JOIN ps USING (unit), c WHERE w > 0),
+    m AS (SELECT b, sum(w * t0 * y0) / sum(w * t0) - sum(w * (1 - t0) * y0) / sum(w * (1 - t0)) AS difference,
+      sum(w * t0 / p * y0) / sum(w * t0 / p) - sum(w * (1 - t0) / (1 - p) * y0) / sum(w * (1 - t0) / (1 - p)) AS weighting,
+      sum(w) AS n, sum(w * y) AS sy, sum(w * t) AS st, sum(w * x) AS sx, sum(w * z) AS sz, sum(w * t * t) AS tt, sum(w * x * x) AS xx, sum(w * z * z) AS zz, sum(w * t * x) AS tx, sum(w * t * z) AS tz, sum(w * x * z) AS xz,
+      sum(w * t * y) AS ty, sum(w * x * y) AS xy, sum(w * z * y) AS zy FROM r GROUP BY b),
+    q AS (SELECT b, difference, weighting, tt - st * st / n AS tt, xx - sx * sx / n AS bb, zz - sz * sz / n AS cc, tx - st * sx / n AS tb, tz - st * sz / n AS tc, xz - sx * sz / n AS bc, ty - st * sy / n AS ty, xy - sx * sy / n AS ly, zy - sz * sy / n AS cy FROM m),
+    e AS (SELECT b, 'difference' AS estimate, difference AS e FROM q UNION ALL SELECT b, 'weighting', weighting FROM q UNION ALL
+      SELECT b, 'regression', (ty * (bb * cc - bc * bc) - tb * (ly * cc - bc * cy) + tc * (ly * bc - bb * cy)) / (tt * (bb * cc - bc * bc) - tb * (tb * cc - bc * tc) + tc * (tb * bc - bb * tc)) FROM q)
+    SELECT estimate, {INTERVALS}, count(*) - 1 AS replicates FROM e GROUP BY estimate"""
+
+
+@query("ca_bootstrap", sql_with("treatment", _newton(6) + EFFECTS))
 def _(t):
-    return op.bootstrap_diff(t.treatment, "unit", "treated", "outcome", 200)
+    out = bootstrap.bootstrap_effects(t.treatment, "unit", "treated", "outcome", ["balance", "nation"], REPLICATES)
+    return rounded(rounded(out, 3, "value", "lower", "upper", "se"), 6, "p_value")
 
 
 @query("ca_sensitivity", sql_with("treatment", DIFF + f""", g AS (SELECT i AS step, 1 + 2.0::DOUBLE * i / 9 AS gamma FROM (SELECT unnest(range(10)) AS i)),
@@ -164,10 +189,33 @@ def _(t):
     return rounded(out, 6, "factual", "counterfactual", "effect")
 
 
-@query("ca_counterfactual_rows", sql_with("obs", CORR_CTE + FIT + """ SELECT strftime("at", '%Y-%m-%d %H:%M:%S') AS "at", round(view + vp * (pc * (80 - click) + pe * s1 * (80 - click)), 6) AS counterfactual FROM h, y"""))
+def _weighted_fit(y: str, a: str, b: str, name: str) -> str:
+    """CTE by replicate: slopes of ``y`` on ``a`` and ``b`` and the intercept, over rows where all are present."""
+    return f"""{name} AS (SELECT b, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS s1, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS s2, my, ma, mb FROM
+      (SELECT b, sum(w * {y}) / sum(w) AS my, sum(w * {a}) / sum(w) AS ma, sum(w * {b}) / sum(w) AS mb, sum(w * {a} * {a}) / sum(w) - ma * ma AS aa, sum(w * {b} * {b}) / sum(w) - mb * mb AS bb,
+        sum(w * {a} * {b}) / sum(w) - ma * mb AS ab, sum(w * {a} * {y}) / sum(w) - ma * my AS ay, sum(w * {b} * {y}) / sum(w) - mb * my AS yb FROM hw WHERE {y} IS NOT NULL AND {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY b))"""
+
+
+COUNTERFACTUAL = f""", u AS (SELECT *, strftime("at", '%Y-%m-%d %H:%M:%S') AS unit FROM h), {_weights('u')}, hw AS (SELECT u.*, b, w FROM u JOIN w USING (unit) WHERE w > 0),
+    f1 AS (SELECT b, (ce - mc * me) / (cc - mc * mc) AS s1, mc, me FROM (SELECT b, sum(w * click) / sum(w) AS mc, sum(w * error) / sum(w) AS me, sum(w * click * error) / sum(w) AS ce,
+      sum(w * click * click) / sum(w) AS cc FROM hw WHERE click IS NOT NULL AND error IS NOT NULL GROUP BY b)),
+    {_weighted_fit('purchase', 'click', 'error', 'f2')}, {_weighted_fit('view', 'purchase', 'signup', 'f3')},
+    g AS (SELECT b, sum(w * view) FILTER (view IS NOT NULL) / sum(w) FILTER (view IS NOT NULL) AS mv, sum(w * signup) FILTER (signup IS NOT NULL) / sum(w) FILTER (signup IS NOT NULL) AS ms FROM hw GROUP BY b),
+    z AS (SELECT b, mv, f1.me + f1.s1 * (80 - f1.mc) AS error, f2.my + f2.s1 * (80 - f2.ma) + f2.s2 * (f1.me + f1.s1 * (80 - f1.mc) - f2.mb) AS purchase, ms FROM f1 JOIN f2 USING (b) JOIN g USING (b)),
+    e AS (SELECT b, z.mv AS factual, f3.my + f3.s1 * (z.purchase - f3.ma) + f3.s2 * (z.ms - f3.mb) AS counterfactual, counterfactual - z.mv AS e FROM z JOIN f3 USING (b))
+    SELECT 'view' AS outcome, round(max(factual) FILTER (b = -1), 3) AS factual, round(max(counterfactual) FILTER (b = -1), 3) AS counterfactual, {INTERVALS.replace("AS value", "AS effect")} FROM e"""
+
+
+@query("ca_counterfactual_interval", sql_with("obs", CORR_CTE.replace("'hour'", "'day'") + COUNTERFACTUAL))
 def _(t):
-    from fieldloom.plans.tables import text_ts
+    daily = pivot_series(t.observations, F.date_trunc("day", "ts"), VARIABLES, "variable", "value")
+    rows = daily.withColumn("unit", text_ts("at"))
+    out = bootstrap.counterfactual_intervals(rows, "unit", CHAIN, {"click": 80.0}, ["view"], REPLICATES)
+    return rounded(rounded(out, 3, "factual", "counterfactual", "effect", "lower", "upper", "se"), 6, "p_value")
 
+
+@query("ca_counterfactual_rows", sql_with("obs", CORR_CTE + FIT + """ SELECT strftime("at", '%Y-%m-%d %H:%M:%S') AS "at", round(view + vp * (pc * (80 - click) + pe * s1 * (80 - click)), 6) AS counterfactual FROM h, y"""))
+def _(t):
     rows = hourly(t)
     out = op.counterfactual_rows(rows, op.fit_structure(rows, CHAIN), {"click": F.lit(80.0)}, "view")
     return out.select(text_ts("at").alias("at"), F.round("counterfactual", 6).alias("counterfactual"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.functions.stats import f_upper_p, t_p_driver
+from fieldloom.operators import bootstrap
 from fieldloom.operators import causal as c
 from tests.conftest import rows
 
@@ -121,14 +122,47 @@ def test_regression_effect(study):
 
 def test_bootstrap(study):
     (t, y, _), df = study
-    r = c.bootstrap_diff(df, "u", "t", "y", 200).first()
-    again = c.bootstrap_diff(df.repartition(7), "u", "t", "y", 200).first()
+    r = bootstrap.bootstrap_diff(df, "u", "t", "y", 200).first()
+    again = bootstrap.bootstrap_diff(df.repartition(7), "u", "t", "y", 200).first()
     diff = y[t == 1].mean() - y[t == 0].mean()
     se = math.sqrt(y[t == 1].var(ddof=1) / (t == 1).sum() + y[t == 0].var(ddof=1) / (t == 0).sum())
     assert r["lower"] < diff < r["upper"] and r["se"] == pytest.approx(se, rel=0.2) and r["replicates"] == 200
     assert tuple(r) == pytest.approx(tuple(again))
-    w = c._poisson_weights(np.arange(5000, dtype=np.int64), 40)
+
+
+def test_bootstrap_weights_are_poisson_and_the_same_in_sql(spark):
+    import duckdb
+
+    digits = spark.range(3000).select("id", bootstrap.weight_digits(F.col("id"), 20, 7).alias("d")).orderBy("id").collect()
+    u = np.array([np.frombuffer(r["d"], ">u2")[:20] for r in digits])
+    w = np.searchsorted(np.array(bootstrap.STEPS), u, side="right")
     assert w.mean() == pytest.approx(1, abs=0.02) and w.var() == pytest.approx(1, abs=0.05)
+    assert abs(np.corrcoef(w[:, 0], w[:, 9])[0, 1]) < 0.06 and abs(np.corrcoef(w[:-1, 3], w[1:, 3])[0, 1]) < 0.06
+    sql = f"SELECT {bootstrap.weight_sql('id', 'b', 7)} FROM (SELECT unnest(range(3000)) AS id), (SELECT unnest(range(20)) AS b) ORDER BY id, b"
+    assert [r[0] for r in duckdb.execute(sql).fetchall()] == w.ravel().tolist()
+
+
+def test_intervals_of_adjusted_effects(study):
+    (t, y, x), df = study
+    got = {r["estimate"]: r for r in bootstrap.bootstrap_effects(df, "u", "t", "y", ["a", "b"], 100).collect()}
+    assert got["regression"]["value"] == pytest.approx(c.regression_effect(df, "t", "y", ["a", "b"]).first()["ate"])
+    assert got["weighting"]["value"] == pytest.approx(c.iptw(df, "t", "y", ["a", "b"]).first()["ate"])
+    assert got["regression"]["se"] == pytest.approx(c.regression_effect(df, "t", "y", ["a", "b"]).first()["se"], rel=0.35)
+    assert all(r["lower"] < r["value"] < r["upper"] for r in got.values())
+
+
+def test_counterfactual_interval_refits_the_model(spark):
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=2000)
+    b = 2 * a + rng.normal(size=2000)
+    y = 3 * b + rng.normal(size=2000)
+    y[::10] = np.nan
+    df = spark.createDataFrame([(i, float(a[i]), float(b[i]), None if np.isnan(y[i]) else float(y[i])) for i in range(2000)], "u long, a double, b double, y double")
+    r = bootstrap.counterfactual_intervals(df, "u", [("a", "b"), ("b", "y")], {"a": 1.0}, ["y", "a"], 100).collect()
+    assert r[0]["lower"] < 6 < r[0]["upper"] and r[0]["upper"] - r[0]["lower"] < 1 and r[0]["p_value"] < 0.05
+    model = c.fit_structure(df, [("a", "b"), ("b", "y")])
+    assert r[0]["counterfactual"] == pytest.approx(model.propagate({"a": 1.0})["y"])
+    assert r[1]["counterfactual"] == 1.0
 
 
 def test_dose_response_merges_equal_edges(spark):

@@ -18,7 +18,7 @@ ROOT = Path(__file__).resolve().parent.parent
 CHECK = ROOT / "tools" / "check.py"
 
 # iterative or sampled estimates without an exact SQL form; each is compared with NumPy in test_causal.py
-NO_SQL = {"ca_bootstrap", "ca_granger", "ca_pc"}
+NO_SQL = {"ca_granger", "ca_pc"}
 
 
 load_all()
