@@ -12,7 +12,7 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from fieldloom.operators.scale import quantiles
@@ -105,43 +105,103 @@ def create_edges(nodes: DataFrame, edges: DataFrame, new: DataFrame) -> DataFram
 # ---- paths ------------------------------------------------------------------
 
 
+def reach_labels(steps: DataFrame, targets: DataFrame | None, high: int) -> DataFrame:
+    """(id, left): the nodes from which some walk of exactly ``left`` steps, up to ``high``, ends in ``targets`` (id).
+
+    Without targets any end counts. Rounds go backwards from the far side and hold nodes, never paths.
+    """
+    level = (steps.select(F.col("dst").alias("id")) if targets is None else targets.select("id")).distinct()
+    if targets is None:
+        level = level.unionByName(steps.select(F.col("src").alias("id"))).distinct()
+    levels = [checkpointed(level)]
+    for _ in range(high):
+        back = steps.join(levels[-1].withColumnRenamed("id", "dst"), "dst", "left_semi")
+        levels.append(checkpointed(back.select(F.col("src").alias("id")).distinct()))
+        if levels[-1].isEmpty():
+            break
+    return reduce(DataFrame.unionByName, [x.select("id", F.lit(k).alias("left")) for k, x in enumerate(levels)])
+
+
+def _used(depth: int) -> Column:
+    """Whether the step (src, dst, type) is one of the first ``depth`` - 1 steps of path and types."""
+    return F.exists(
+        F.sequence(F.lit(1), F.lit(depth - 1)) if depth > 1 else F.expr("cast(array() as array<int>)"),
+        lambda i: (F.element_at("path", i) == F.col("src")) & (F.element_at("path", i + 1) == F.col("dst"))
+        & (F.element_at("types", i) == F.col("type")),
+    )
+
+
+def _grown(steps: DataFrame, front: DataFrame, labels: DataFrame, depth: int, bounded: bool) -> DataFrame:
+    """Partial paths of one step more that can still end in time: (length, path, types, _end)."""
+    # a bounded front goes to the edges wherever they are
+    hop = steps.join(F.broadcast(front) if bounded else front, F.col("_end") == F.col("src")).where(~_used(depth))
+    longer = hop.select(
+        "length", F.concat("path", F.array("dst")).alias("path"), F.concat("types", F.array("type")).alias("types"), F.col("dst").alias("_end")
+    )
+    return longer.join(labels, (F.col("_end") == F.col("id")) & (F.col("length") - depth == F.col("left")), "left_semi")
+
+
+def _paths_in_order(steps: DataFrame, starts: DataFrame, labels: DataFrame, low: int, high: int, beam: int | None) -> tuple[DataFrame, dict[int, int], set[int], list[int]]:
+    """Complete paths from at most ``beam`` partial ones a length and level, the first in order: (paths, number of each
+    length, lengths where some were left out, rows of each level's front)."""
+    lengths = F.explode(F.sequence(F.lit(low), F.lit(high)))
+    front = starts.select("id").distinct().select("id", lengths.alias("length"))
+    front = front.join(labels.withColumnRenamed("left", "length"), ["id", "length"], "left_semi")
+    front = front.select("length", F.array("id").alias("path"), F.expr("cast(array() as array<string>)").alias("types"), F.col("id").alias("_end"))
+    done, cut, sizes = [], set(), []
+    for depth in range(high + 1):
+        grown = front if depth == 0 else _grown(steps, front, labels, depth, beam is not None)
+        if beam is None:
+            now = checkpointed(grown)
+        else:
+            # a path may come with several lists of types: the cut is between paths, so it never parts them; partitions
+            # are cut before the shuffle
+            ranked = grown.withColumn("_rank", F.dense_rank().over(Window.partitionBy("length").orderBy("path"))).where(F.col("_rank") <= beam + 1)
+            first = checkpointed(ranked)
+            cut |= {r["length"] for r in first.where(F.col("_rank") > beam).select("length").distinct().collect()}
+            now = first.where(F.col("_rank") <= beam).drop("_rank")
+        sizes.append(now.count())
+        if depth >= low:
+            done.append(now.where(F.col("length") == depth).select("path", "types", "length"))
+        front = now.where(F.col("length") > depth)
+        if not sizes[-1]:
+            break
+    out = reduce(DataFrame.unionByName, done) if done else front.select("path", "types", "length").limit(0)
+    return out, {r["length"]: r["count"] for r in out.groupBy("length").count().collect()}, cut, sizes
+
+
 def paths(
     edges: DataFrame, starts: DataFrame, kinds: Sequence[str], low: int, high: int, targets: DataFrame | None = None,
-    limit: int | None = 20,
+    limit: int | None = 20, told: list | None = None,
 ) -> DataFrame:
     """(path, types, length): directed paths of ``low``..``high`` typed edges from ``starts`` (id) that end in ``targets``.
 
-    No edge is used twice in a path. The first ``limit`` by (length, path): once
-    a round has completed that many, longer paths cannot enter and are not built.
+    No edge is used twice in a path. The first ``limit`` by (length, path, types). Nodes are labelled from the far side
+    with the numbers of steps in which they can reach a target; paths then grow in final order, and of each length
+    only the first ``limit`` partial ones are kept a level: whatever follows them in order can only end after them. Where
+    partial paths end in nothing, because their only ways on use an edge again, the search is made again with twice as
+    many. ``told`` receives the rows of every level's front, a list for each search. Without a limit all paths are built.
     """
-    steps = edges.where(F.col("type").isin(list(kinds))).select("src", "dst", "type")
-    front = starts.select(
-        F.array("id").alias("path"), F.expr("cast(array() as array<string>)").alias("types"), F.col("id").alias("_end")
-    )
-    found, have = [], 0
-    ends = None if targets is None else checkpointed(targets.select(F.col("id").alias("_end")).distinct())
-    for depth in range(1, high + 1):
-        hop = front.join(steps, F.col("_end") == F.col("src"))
-        # the same edge again means: same node pair and type at an earlier step
-        again = F.exists(
-            F.sequence(F.lit(1), F.lit(depth - 1)) if depth > 1 else F.expr("cast(array() as array<int>)"),
-            lambda i: (F.element_at("path", i) == F.col("src")) & (F.element_at("path", i + 1) == F.col("dst"))
-            & (F.element_at("types", i) == F.col("type")),
-        )
-        front = checkpointed(hop.where(~again).select(
-            F.concat("path", F.array("dst")).alias("path"), F.concat("types", F.array("type")).alias("types"), F.col("dst").alias("_end")
-        ))
-        if depth >= low:
-            hits = front if ends is None else front.join(ends, "_end", "left_semi")
-            found.append(hits.select("path", "types", F.lit(depth).alias("length")))
-            if limit is not None:
-                have += hits.limit(limit).count()
-                if have >= limit:
-                    break
-        if front.isEmpty():
-            break
-    out = reduce(DataFrame.unionByName, found)
-    return out if limit is None else out.orderBy("length", "path", "types").limit(limit)
+    steps = checkpointed(edges.where(F.col("type").isin(list(kinds))).select("src", "dst", "type").distinct())
+    labels = checkpointed(reach_labels(steps, targets, high))
+    beam = limit
+    while True:
+        found, number, cut, sizes = _paths_in_order(steps, starts, labels, low, high, beam)
+        if told is not None:
+            told.append(sizes)
+        if limit is None:
+            return found
+        have, short = 0, False
+        for length in range(low, high + 1):
+            have += number.get(length, 0)
+            if have >= limit:
+                break
+            if length in cut:  # some were left out, and those that were kept do not fill the answer
+                short = True
+                break
+        if not short:
+            return found.orderBy("length", "path", "types").limit(limit)
+        beam *= 2
 
 
 def breadth_first(edges: DataFrame, starts: DataFrame, depth: int, target: str | None = None) -> DataFrame:
@@ -295,11 +355,11 @@ def link_prediction(nodes: DataFrame, edges: DataFrame, source: str, kind: str,
     fresh = counts.join(mine, F.col("candidate") == F.col("shared"), "left_anti")
     top = fresh.orderBy(F.desc("common"), "candidate").limit(limit)
     best = top.agg(F.max("common")).scalar()
-    from fieldloom.operators.sets import topk_per_group
-
     labelled = shared.join(top.select("candidate"), "candidate").join(
         nodes.select(F.col("id").alias("shared"), "name"), "shared"
     ).select("candidate", "name").distinct()
+    from fieldloom.operators.sets import topk_per_group
+
     few = topk_per_group(labelled, ["candidate"], [F.col("name")], names).groupBy("candidate").agg(
         F.array_sort(F.collect_list("name")).alias("evidence")
     )

@@ -67,6 +67,25 @@ def _(t):
     return out.select(F.array_join("path", ">").alias("path"), F.array_join("types", ">").alias("types"), F.col("length").cast("long").alias("length"))
 
 
+@query("g_paths_hub", """SELECT 'C' || c_custkey || '>N' || c_nationkey || '>S' || s_suppkey || '>R' || n_regionkey AS path, CAST(3 AS BIGINT) AS length
+    FROM customer JOIN supplier ON c_nationkey = s_nationkey JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey <> 3 AND s_suppkey % 3 <> 0
+    ORDER BY ['C' || c_custkey, 'N' || c_nationkey, 'S' || s_suppkey] LIMIT 50""")
+def _(t):
+    """The first paths from all customers through nations, which are hubs on both sides, and suppliers to some regions."""
+    def edges(rows, a, b):
+        return rows.select(a.alias("src"), b.alias("dst"), F.lit("LEADS_TO").alias("type"))
+
+    def named(letter, column):
+        return F.concat(F.lit(letter), F.col(column).cast("string"))
+
+    suppliers = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).where("s_suppkey % 3 <> 0")
+    graph = edges(t.customer, named("C", "c_custkey"), named("N", "c_nationkey")).unionByName(
+        edges(suppliers, named("N", "s_nationkey"), named("S", "s_suppkey"))).unionByName(edges(suppliers, named("S", "s_suppkey"), named("R", "n_regionkey")))
+    targets = t.region.where("r_regionkey <> 3").select(named("R", "r_regionkey").alias("id"))
+    out = op.paths(graph, t.customer.select(named("C", "c_custkey").alias("id")), ["LEADS_TO"], 1, 4, targets, 50)
+    return out.select(F.array_join("path", ">").alias("path"), F.col("length").cast("long").alias("length"))
+
+
 def _bfs_sql(depth: int) -> str:
     ctes = [", adj AS (SELECT src, dst, type FROM edges UNION ALL SELECT dst, src, type FROM edges)", "l0 AS (SELECT {start} AS id, [{start}] AS path, CAST([] AS VARCHAR[]) AS types)"]
     for d in range(1, depth + 1):

@@ -32,6 +32,38 @@ def test_shortest_path_explains(small):
     assert g.shortest_path(*small, "s1", "r", 2).count() == 0
 
 
+def test_paths_through_a_hub_keep_a_bounded_front(spark):
+    """A hub with 3,000 ways out, of which few can end in time: no level holds more than the limit for each length."""
+    rows_ = [("s", f"m{i:04d}", "X") for i in range(300)] + [(f"m{i:04d}", "hub", "X") for i in range(300)]
+    rows_ += [("hub", f"z{i:04d}", "X") for i in range(3000)] + [(f"z{i:04d}", "end", "X") for i in range(2500, 3000)] + [("hub", "a", "X"), ("a", "b", "X")]
+    edges = spark.createDataFrame(rows_, "src string, dst string, type string")
+    told = []
+    end = spark.createDataFrame([("end",)], "id string")
+    got = [tuple(r["path"]) for r in g.paths(edges, spark.createDataFrame([("s",)], "id string"), ["X"], 1, 6, end, 10, told).collect()]
+    assert got == [("s", "m0000", "hub", f"z{i:04d}", "end") for i in range(2500, 2510)]
+    assert len(told) == 1 and max(told[0]) <= 10
+
+
+def test_paths_in_order_against_all_trails(spark):
+    """Random graphs with cycles and several types: the first by (length, path, types), also where ways end in nothing."""
+    import random
+
+    rnd = random.Random(11)
+    for size, n, limit in ((4, 9, 3), (5, 14, 7), (3, 8, 1)):
+        edges = sorted({(f"n{rnd.randrange(size)}", f"n{rnd.randrange(size)}", rnd.choice("XYZ")) for _ in range(n)})
+        steps = [e for e in edges if e[2] != "Z"]
+        found, front = [], [((f"n{i}",), (), frozenset()) for i in range(2)]
+        for depth in range(1, 6):
+            front = [(p + (d,), t + (k,), u | {(s, d, k)}) for p, t, u in front for s, d, k in steps if s == p[-1] and (s, d, k) not in u]
+            if depth >= 2:
+                found += [(depth, p, t) for p, t, _ in front if p[-1] in ("n0", "n2")]
+        df = spark.createDataFrame(edges, "src string, dst string, type string")
+        ends = spark.createDataFrame([("n0",), ("n2",)], "id string")
+        starts = spark.createDataFrame([("n0",), ("n1",)], "id string")
+        got = [(r["length"], tuple(r["path"]), tuple(r["types"])) for r in g.paths(df, starts, ["X", "Y"], 2, 5, ends, limit).collect()]
+        assert got == sorted(found)[:limit]
+
+
 def test_paths_use_an_edge_once(spark):
     edges = spark.createDataFrame([("a", "b", "X", 1.0), ("b", "a", "X", 1.0), ("a", "b", "Y", 1.0), ("b", "c", "X", 1.0)], EDGES)
     start = spark.createDataFrame([("a",)], "id string")
