@@ -155,11 +155,11 @@ def carry_forward(
     with_values = df.select("*", *[c.alias(f"_v_{n}") for n, c in columns.items()])
     parts = chunked(with_values, keys, order, chunks)
     local = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    numbered = parts.withColumn("_row", F.row_number().over(local))
+    numbered = parts.withColumn("_local_row", F.row_number().over(local))
     # max_by skips rows whose ordering value is null: it picks the last non-null value
     ends = numbered.groupBy(*keys, "_chunk").agg(
         *[
-            F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col("_row"))).alias(f"_e_{n}")
+            F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col("_local_row"))).alias(f"_e_{n}")
             for n in columns
         ]
     )

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators import evaluate as op
 from fieldloom.operators import features as fs
-from fieldloom.operators.aggregates import last_non_null
-from fieldloom.operators.joins import join_asof
 from fieldloom.plans.aggregates import rounded
 from fieldloom.plans.registry import query
 from fieldloom.plans.scalars import ERF_SQL
@@ -63,15 +61,35 @@ def _(t):
 
 
 def _store(t) -> fs.FeatureStore:
-    store = fs.FeatureStore(t.spark, f"{shared_dir(t.spark)}/store-{uuid.uuid4().hex}")
-    store.register("orders", "entity", "ts", ["price", "state"], "order facts", ["sales"])
+    """A store with three sets: what orders, their items and the accounts tell of a customer."""
+    store = fs.FeatureStore(t.spark, f"{shared_dir(t.spark)}/store-{uuid.uuid4().hex}", "quarter")
+    store.register("orders", "entity", "ts", ["price", "state"], "order facts", ["sales"], "seq")
     return store
 
 
-@query("fs_register", "SELECT 'orders' AS name, 'entity' AS entity, 'price,state' AS features WHERE (SELECT count(*) FROM orders) > 0")
+def _three_sets(t) -> fs.FeatureStore:
+    store = _store(t)
+    store.register("items", "customer", "at", ["quantity", "flag"], "last item", seq="line")
+    store.register("accounts", "entity", "ts", ["price", "segment"], "account facts")
+    store.ingest("orders", t.features)
+    items = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_custkey").alias("customer"), F.col("l_shipdate").alias("at"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("line"),
+        F.when(F.col("l_linenumber") % 3 != 0, F.col("l_quantity")).alias("quantity"), F.when(F.col("l_partkey") % 5 != 0, F.col("l_returnflag")).alias("flag"),
+    )
+    store.ingest("items", items)
+    opened = (F.lit("1994-01-01").cast("timestamp") + F.make_dt_interval(F.col("c_custkey") % 700)).alias("ts")
+    store.ingest("accounts", t.customer.select(F.col("c_custkey").alias("entity"), opened, F.col("c_acctbal").alias("price"), F.col("c_mktsegment").alias("segment")))
+    return store
+
+
+@query("fs_register", """SELECT 'orders_' || o_orderpriority AS name, 'o_custkey' AS entity, string_agg(DISTINCT 'total_' || o_orderstatus, ',' ORDER BY 'total_' || o_orderstatus) AS features
+    FROM orders GROUP BY o_orderpriority UNION ALL SELECT 'orders', 'entity', 'price,state'""")
 def _(t):
-    sets = _store(t).sets().select("name", "entity", F.array_join("features", ",").alias("features"))
-    return sets.join(t.orders.limit(1).select(F.lit("entity").alias("entity")), "entity", "left_semi")
+    """A set for each order priority, with a feature for each status that orders of it have."""
+    store = _store(t)
+    found = t.orders.groupBy("o_orderpriority").agg(F.array_sort(F.collect_set(F.concat(F.lit("total_"), F.col("o_orderstatus")))).alias("features"))
+    store.register_all(found.select(F.concat(F.lit("orders_"), F.col("o_orderpriority")).alias("name"), F.lit("o_custkey").alias("entity"), F.lit("o_orderdate").alias("ts"), "features"))
+    return store.sets().select("name", "entity", F.array_join("features", ",").alias("features"))
 
 
 @query("fs_ingest", sql_with("features", "SELECT entity, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, price FROM features WHERE ts BETWEEN TIMESTAMP '1999-01-01' AND TIMESTAMP '1999-06-30'"))
@@ -88,28 +106,55 @@ FS_GET = """SELECT entity, arg_max(price, row(ts, seq)) FILTER (price IS NOT NUL
 
 @query("fs_get", sql_with("features", FS_GET))
 def _(t):
-    at = F.lit("1999-06-30").cast("timestamp")
-    return last_non_null(t.features.where(F.col("ts") <= at), ["entity"], ["price", "state"], ["ts", "seq"])
+    store = _store(t)
+    store.ingest("orders", t.features)
+    return store.get("orders", "1999-06-30")
+
+
+SETS_SQL = """, i AS (SELECT o_custkey AS entity, l_shipdate AS ts, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS seq, CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity END AS quantity,
+      CASE WHEN l_partkey % 5 <> 0 THEN l_returnflag END AS flag FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    a AS (SELECT c_custkey AS entity, TIMESTAMP '1994-01-01' + to_days(CAST(c_custkey % 700 AS INT)) AS ts, c_acctbal AS price_accounts, c_mktsegment AS segment FROM customer)"""
+
 
+def _known(rows: str, column: str) -> str:
+    """CTE of the values of a column by entity and time, the last by seq."""
+    return f"k_{column} AS (SELECT entity, ts, arg_max({column}, seq) AS {column} FROM {rows} WHERE {column} IS NOT NULL GROUP BY 1, 2)"
 
-@query("fs_training", """WITH f AS (SELECT o_custkey AS entity, o_orderdate AS ts, arg_max(o_totalprice, o_orderkey) AS price FROM orders GROUP BY 1, 2),
-    l AS (SELECT o_orderkey AS label, o_custkey AS entity, o_orderdate - INTERVAL 1 DAY AS at FROM orders WHERE o_orderstatus = 'O')
-    SELECT label, l.entity, f.price FROM l ASOF LEFT JOIN f ON l.entity = f.entity AND l.at >= f.ts""")
+
+COLUMNS = {"price": "features", "state": "features", "quantity": "i", "flag": "i", "price_accounts": "(SELECT *, 0 AS seq FROM a)", "segment": "(SELECT *, 0 AS seq FROM a)"}
+
+
+@query("fs_training", sql_with("features", SETS_SQL + ", " + ", ".join(_known(r, c) for c, r in COLUMNS.items()) + """,
+    l AS (SELECT o_orderkey AS label, o_custkey AS entity, o_orderdate - INTERVAL 1 DAY AS "at" FROM orders WHERE o_orderstatus = 'O')
+    SELECT label, l.entity, """ + ", ".join(COLUMNS) + " FROM l " + " ".join(f"ASOF LEFT JOIN k_{c} ON l.entity = k_{c}.entity AND l.\"at\" >= k_{c}.ts" for c in COLUMNS)))
 def _(t):
-    history = t.orders.select(F.col("o_custkey").alias("entity"), F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("price"))
     labels = t.orders.where("o_orderstatus = 'O'").select(
         F.col("o_custkey").alias("entity"), F.col("o_orderkey").alias("label"), (F.col("o_orderdate") - F.expr("INTERVAL 1 DAY")).alias("at")
     )
-    return join_asof(labels, history, ["entity"], ["price"], feature_seq="seq").select("label", "entity", "price")
+    return _three_sets(t).training_at(labels, ["orders", "items", "accounts"], "at").drop("at")
+
+
+TIMELINE = SETS_SQL + """, u AS (SELECT entity, ts, 0 AS side, seq, price, state, NULL AS quantity, NULL AS flag, NULL AS price_accounts, NULL AS segment FROM features
+      UNION ALL SELECT entity, ts, 1, seq, NULL, NULL, quantity, flag, NULL, NULL FROM i UNION ALL SELECT entity, ts, 2, 0, NULL, NULL, NULL, NULL, price_accounts, segment FROM a),
+    c AS (SELECT entity, ts, side, seq, """ + ", ".join(f"last_value({c} IGNORE NULLS) OVER w AS {c}" for c in COLUMNS) + """ FROM u WHERE ts <= TIMESTAMP '1998-03-01' WINDOW w AS (PARTITION BY entity ORDER BY ts, side, seq ROWS UNBOUNDED PRECEDING)),
+    d AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY entity, ts ORDER BY side DESC, seq DESC) = 1), n AS (SELECT *, lead(ts) OVER (PARTITION BY entity ORDER BY ts) AS nx FROM d)
+    SELECT entity, strftime(greatest(ts, TIMESTAMP '1998-01-01'), '%Y-%m-%d %H:%M:%S') AS valid_from, strftime(coalesce(least(nx, TIMESTAMP '1998-03-01'), TIMESTAMP '1998-03-01'), '%Y-%m-%d %H:%M:%S') AS valid_to,
+      """ + ", ".join(COLUMNS) + """ FROM n WHERE ts < TIMESTAMP '1998-03-01' AND (nx IS NULL OR nx > TIMESTAMP '1998-01-01')"""
+
+
+@query("fs_timeline", sql_with("features", TIMELINE))
+def _(t):
+    known = _three_sets(t).timeline(["orders", "items", "accounts"], "1998-01-01", "1998-03-01")
+    return known.withColumns({c: text_ts(c) for c in ("valid_from", "valid_to")})
 
 
 @query("fs_online_latest", sql_with("features", """SELECT 'features:orders:' || entity AS key, state, price FROM (
     SELECT entity, arg_max(price, row(ts, seq)) FILTER (price IS NOT NULL) AS price, arg_max(state, row(ts, seq)) FILTER (state IS NOT NULL) AS state FROM features GROUP BY 1)"""))
 def _(t):
-    latest = last_non_null(t.features, ["entity"], ["price", "state"], ["ts", "seq"])
-    out = fs.online_rows(latest, "orders", "entity", ["price", "state"])
+    store = _store(t)
+    store.ingest("orders", t.features)
     v = F.col("value")
-    return out.select("key", F.get_json_object(v, "$.state").alias("state"), F.get_json_object(v, "$.price").cast("double").alias("price"))
+    return store.online("orders").select("key", F.get_json_object(v, "$.state").alias("state"), F.get_json_object(v, "$.price").cast("double").alias("price"))
 
 
 @query("ml_split", """SELECT o_orderkey, CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.85 THEN 'val' ELSE 'test' END AS part FROM

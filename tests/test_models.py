@@ -92,6 +92,29 @@ def test_feature_store(spark, tmp_path):
         store.describe("unknown")
 
 
+def test_sets_merged_along_time(spark, tmp_path):
+    store = features.FeatureStore(spark, str(tmp_path), "month")
+    store.register("s", "e", "ts", ["a"], seq="n")
+    store.register("other", "who", "ts", ["a", "b"])
+    d = [datetime(2024, 1, i) for i in range(1, 8)]
+    store.ingest("s", spark.createDataFrame([(1, d[0], 2, 1.0), (1, d[0], 1, 9.0), (1, d[4], 0, 5.0), (None, d[1], 0, 3.0)], "e long, ts timestamp, n int, a double"))
+    store.ingest("other", spark.createDataFrame([(1, d[2], 7.0, "x"), (1, d[4], None, "y"), (2, d[1], 2.0, None)], "who long, ts timestamp, a double, b string"))
+    labels = spark.createDataFrame([(1, d[1], 0.5), (1, d[3], 0.6), (1, d[6], 0.7), (2, d[1], 0.8), (3, d[1], 0.9), (None, d[1], 0.1)], "who long, at timestamp, a double")
+    for hot in (None, 2):
+        got = store.training_at(labels, ["s", "other"], "at", entity="who", hot_rows=hot)
+        assert got.columns == ["who", "at", "a", "a_s", "a_other", "b"]
+        assert rows(got, "who", "a", "a_s", "a_other", "b") == sorted([
+            (1, 0.5, 1.0, None, None), (1, 0.6, 1.0, 7.0, "x"), (1, 0.7, 5.0, 7.0, "y"), (2, 0.8, None, 2.0, None), (3, 0.9, None, None, None), (None, 0.1, 3.0, None, None)], key=repr)
+        line = store.timeline(["s", "other"], d[1], d[5], hot_rows=hot)
+        assert rows(line.where("e = 1"), "valid_from", "valid_to", "a", "a_other", "b") == [(d[1], d[2], 1.0, None, None), (d[2], d[4], 1.0, 7.0, "x"), (d[4], d[5], 5.0, 7.0, "y")]
+        assert rows(line.where("e = 2"), "valid_from", "valid_to", "a_other") == [(d[1], d[5], 2.0)]
+    # an entity with many rows in every set gives as many rows as the sets have, not their product
+    many = spark.range(400).select((F.lit(5)).cast("long").alias("e"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 60).alias("ts"), F.lit(0).alias("n"), F.col("id").cast("double").alias("a"))
+    store.ingest("s", many)
+    store.ingest("other", many.select(F.col("e").alias("who"), (F.col("ts") + F.expr("INTERVAL 30 SECONDS")).alias("ts"), "a", F.lit("z").alias("b")))
+    assert store.timeline(["s", "other"], "2024-01-01", "2024-02-01").where("e = 5").count() == 800
+
+
 def test_robust_edges(spark):
     df = spark.createDataFrame([("a", 0, 1.0, 0), ("b", 0, 2.0, 0), ("c", 0, 3.0, 0), ("d", 0, 4.0, 0)], "client string, idx int, value double, num_samples long")
     assert robust.weighted_mean(df, ["idx"]).first()["value"] == 2.5

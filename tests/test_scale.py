@@ -104,3 +104,15 @@ def test_small_input_needs_no_count_job(obs, tables):
     assert scale.estimated_bytes(tables.events) < scale.SMALL_BYTES
     assert scale.chunk_count(tables.events, ["event_type"], None) == 0
     assert scale.chunk_count(obs, ["variable"], 10) > 1
+
+
+def test_asof_join_in_chunks_keeps_label_columns(spark):
+    from datetime import datetime
+
+    from fieldloom.operators.joins import join_asof
+
+    d = [datetime(2024, 1, i) for i in range(1, 9)]
+    history = spark.createDataFrame([(1, d[0], 1.0), (1, d[2], None), (1, d[4], 5.0), (2, d[1], 2.0)], "e long, ts timestamp, a double")
+    labels = spark.createDataFrame([(1, d[3], "x"), (1, d[6], "y"), (2, d[0], "z")], "e long, at timestamp, l string")
+    plain = rows(join_asof(labels, history, ["e"], ["a"]), "l", "a")
+    assert plain == rows(join_asof(labels, history, ["e"], ["a"], hot_rows=2), "l", "a") == [("x", 1.0), ("y", 5.0), ("z", None)]
