@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _random = np.random.Generator(np.random.PCG64(20240229))
 #: a random number for each byte, A-Z as a-z, white space as nothing
@@ -57,12 +58,22 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return mixed(np.add.reduceat(values, at - at[0])), np.searchsorted(at, bounds)
 
 
+#: bytes of texts that are hashed at once; this only bounds the memory of the arrays over their bytes
+AT_ONCE = 1 << 20
+
+
 def shingle_sets(texts: pa.Array, words: int = 5) -> list[np.ndarray]:
     """The ascending distinct shingle hashes of each text (no nulls).
 
     Words are what stands between the six ASCII white space characters, A-Z as a-z. A text of fewer words is one
     shingle, a text without words has none.
     """
+    places = np.cumsum(np.asarray(pc.binary_length(texts), np.int64)) // AT_ONCE
+    edges = [0, *(np.flatnonzero(np.diff(places)) + 1).tolist(), len(texts)]
+    return [s for a, b in zip(edges, edges[1:], strict=False) for s in _sets(texts.slice(a, b - a), words)]
+
+
+def _sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     hashes, bounds = word_hashes(texts)
     whole = np.zeros(max(0, len(hashes) - words + 1), np.uint64)
     for k in range(words):
