@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fieldloom.functions.scalar import severity_rank
@@ -10,6 +12,8 @@ from fieldloom.operators.filters import filter_radius
 from fieldloom.plans.filters import HAVERSINE_SQL
 from fieldloom.plans.registry import query
 from fieldloom.plans.tables import sql_with, text_ts
+from fieldloom.session import shared_dir
+from fieldloom.sources.mergetable import RollupTable
 
 
 def rounded(df, digits, *names):
@@ -38,6 +42,18 @@ def _(t):
     return rounded(out.withColumn("bucket", text_ts("bucket")), 6, "avg_value")
 
 
+@query("agg_continuous_incremental", sql_with("obs", """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS bucket, station % 16 AS cell, variable,
+    round(avg(value), 6) AS avg_value, min(value) AS min_value, max(value) AS max_value, count(*) AS n FROM obs GROUP BY 1, 2, 3"""))
+def _(t):
+    """The same aggregate after three commits; the later ones bring rows of days that are there already."""
+    rows = t.observations.withColumn("cell", F.col("station") % 16)
+    table = RollupTable(t.spark, f"{shared_dir(t.spark)}/rollup-{uuid.uuid4().hex}", "cell BIGINT, variable STRING", ["cell", "variable"], "value", max_deltas=2)
+    for part in ("event_id % 10 < 8", "event_id % 10 = 8", "event_id % 10 = 9"):
+        table.apply(rows.where(part))
+    out = table.read().select(text_ts("bucket_ts").alias("bucket"), "cell", "variable", (F.col("total") / F.col("n")).alias("avg_value"), "min_value", "max_value", "n")
+    return rounded(out, 6, "avg_value")
+
+
 @query("agg_pct_of_total", """WITH s AS (SELECT p_brand, p_type, sum(p_retailprice) AS amount FROM part GROUP BY 1, 2)
     SELECT p_brand, p_type, round(amount, 2) AS amount, round(sum(amount) OVER (PARTITION BY p_brand), 2) AS total,
     round(amount / sum(amount) OVER (PARTITION BY p_brand) * 100, 6) AS percentage FROM s""")

@@ -117,6 +117,15 @@ class MergeTable:
         names = [s.getPath().getName() for s in fs.listStatus(root)]
         return {n.split("=")[1]: f"{folder}/{n}" for n in names if n.startswith("bucket=")}, int(fs.getContentSummary(root).getLength())
 
+    def _prepared(self, changes: DataFrame, number: int) -> tuple[DataFrame, str]:
+        """(the last change of each key with the commit's number, DDL of the order columns)."""
+        marked = changes.select(*self.columns, *[F.col(c).alias(m) for c, m in zip(self.order, self.marks, strict=True)])
+        marks = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in marked.schema if f.name in self.marks)
+        others = [c for c in marked.columns if c not in self.keys]
+        last = marked.groupBy(*self.keys).agg(F.max_by(F.struct(*others), F.struct(*self.marks)).alias("_new"))
+        rows = last.select(*[F.col(c) if c in self.keys else F.col(f"_new.{c}").alias(c) for c in marked.columns], F.lit(number).cast("long").alias("_commit"))
+        return rows, marks
+
     def apply(self, changes: DataFrame, number: int | None = None, keep: int = 2) -> int:
         """Commit a batch of changes (the table's columns and the order columns) and return its snapshot's number.
 
@@ -128,11 +137,7 @@ class MergeTable:
             number = have[-1] + 1 if have else 0
         if have and number <= have[-1]:
             return number
-        marked = changes.select(*self.columns, *[F.col(c).alias(m) for c, m in zip(self.order, self.marks, strict=True)])
-        marks = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in marked.schema if f.name in self.marks)
-        others = [c for c in marked.columns if c not in self.keys]
-        last = marked.groupBy(*self.keys).agg(F.max_by(F.struct(*others), F.struct(*self.marks)).alias("_new"))
-        rows = last.select(*[F.col(c) if c in self.keys else F.col(f"_new.{c}").alias(c) for c in marked.columns], F.lit(number).cast("long").alias("_commit"))
+        rows, marks = self._prepared(changes, number)
         before = self.manifest(have[-1])["parts"] if have else {}
         made, written = self._write(rows, number)
         parts = {b: list(before.get(b, [])) for b in {*before, *made}}
@@ -160,3 +165,31 @@ class MergeTable:
                 fs.delete(p, True)
             fs, p = self._fs(f"{self.path}/_snapshots/{n:012d}.json")
             fs.delete(p, False)
+
+
+class RollupTable(MergeTable):
+    """A continuous aggregate kept up to date: count, sum, least and greatest value by time bucket and keys.
+
+    A commit adds the states of its own rows, filed by time bucket; a late row adds to its bucket's folder alone and
+    nothing else is read or written. Reading folds the states of a bucket, and a bucket with many folders is folded.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key_ddl: str, keys: Sequence[str], value: str, ts: str = "ts", unit: str = "day", max_deltas: int = 4):
+        self.value, self.ts, self.unit = value, ts, unit
+        schema = f"bucket_ts TIMESTAMP, {key_ddl}, n BIGINT, total DOUBLE, min_value DOUBLE, max_value DOUBLE"
+        super().__init__(spark, path, schema, ["bucket_ts", *keys], [], [], max_deltas=max_deltas)
+
+    def _bucket(self) -> Column:
+        return F.datediff(F.to_date("bucket_ts"), F.lit("1970-01-01").cast("date"))
+
+    def _prepared(self, changes: DataFrame, number: int) -> tuple[DataFrame, str]:
+        v = F.col(self.value)
+        states = changes.withColumn("bucket_ts", F.date_trunc(self.unit, self.ts)).groupBy(*self.keys).agg(
+            F.count(F.lit(1)).alias("n"), F.sum(v).alias("total"), F.min(v).alias("min_value"), F.max(v).alias("max_value")
+        )
+        return states.select(*self.columns, F.lit(number).cast("long").alias("_commit")), ""
+
+    def _folded(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*self.keys).agg(
+            F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value"), F.min("_commit").alias("_commit")
+        )

@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from fieldloom.sources.mergetable import MergeTable
+from fieldloom.sources.mergetable import MergeTable, RollupTable
 from tests.conftest import rows
 
 SCHEMA = "k INT, v STRING, w STRING"
@@ -93,3 +93,21 @@ def test_old_folders_go(spark, tmp_path):
     kept = {p.parent.parent.name for p in Path(tmp_path, "t", "data").glob("*/bucket=*/*.parquet")}
     assert live <= kept
     assert rows(table.read(), "k", "v") == [(0, "v"), (1, "v"), (2, "v"), (3, "v"), (None, "null 3")]
+
+
+def test_a_late_row_reopens_its_bucket_alone(spark, tmp_path):
+    table = RollupTable(spark, str(tmp_path / "r"), "k STRING", ["k"], "v", max_deltas=2)
+
+    def rows_of(*data):
+        return spark.createDataFrame(list(data), "day STRING, k STRING, v DOUBLE").selectExpr("cast(day AS TIMESTAMP) AS ts", "k", "v")
+
+    table.apply(rows_of(("2024-01-01 05:00:00", "a", 1.0), ("2024-01-01 06:00:00", "a", 3.0), ("2024-01-02 00:00:00", "a", 5.0), ("2024-01-02 00:00:00", None, None)))
+    first = table.manifest(0)["parts"]
+    table.apply(rows_of(("2024-01-01 23:59:59", "a", -1.0)))
+    second = table.manifest(1)["parts"]
+    day = next(b for b in second if second[b] != first[b])
+    assert len(second[day]) == 2 and all(second[b] == first[b] for b in first if b != day)
+    table.apply(rows_of(("2024-01-01 01:00:00", "b", 2.0)))
+    assert len(table.manifest(2)["parts"][day]) == 1 and table.manifest(2)["folded"] == [int(day)]
+    got = table.read().selectExpr("date_format(bucket_ts, 'dd') AS d", "k", "n", "total", "min_value", "max_value")
+    assert rows(got) == sorted([("01", "a", 3, 3.0, -1.0, 3.0), ("01", "b", 1, 2.0, 2.0, 2.0), ("02", "a", 1, 5.0, 5.0, 5.0), ("02", None, 1, None, None, None)], key=repr)
