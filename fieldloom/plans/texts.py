@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fieldloom.operators import text as op
 from fieldloom.plans.registry import query
 from fieldloom.plans.tables import sql_with
+from fieldloom.session import shared_dir
+from fieldloom.sources.textindex import TextIndex
 
 
 @query("txt_search_any", "SELECT doc_id, lang FROM documents WHERE list_has_any(regexp_split_to_array(lower(text), '[^a-z0-9]+'), ['license', 'heon', 'thanat'])")
@@ -14,6 +18,22 @@ def _(t):
     return op.search_any(t.documents, "text", ["license", "heon", "Thanat"]).select("doc_id", "lang")
 
 
+def _indexed(t) -> TextIndex:
+    index = TextIndex(t.spark, f"{shared_dir(t.spark)}/text-index-{uuid.uuid4().hex}")
+    return index.add(t.documents, "doc_id", "text")
+
+
+@query("txt_search_index", "SELECT doc_id, lang FROM documents WHERE list_has_any(regexp_split_to_array(lower(text), '[^a-z0-9]+'), ['license', 'heon', 'thanat'])")
+def _(t):
+    index = _indexed(t)
+    return index.rows(t.documents, "doc_id", index.search_any(["license", "heon", "Thanat"])).select("doc_id", "lang")
+
+
+@query("txt_search_all_index", "SELECT doc_id FROM documents WHERE list_has_all(regexp_split_to_array(lower(text), '[^a-z0-9]+'), ['license', 'the']) AND doc_id >= 100")
+def _(t):
+    return _indexed(t).search_all(["license", "the"], low=100).select(F.col("id").alias("doc_id"))
+
+
 @query("txt_contains_topk", "SELECT conv_id, turn, role FROM conversations WHERE contains(lower(text), 'er') ORDER BY conv_id DESC, turn LIMIT 5")
 def _(t):
     return op.contains_topk(t.conversations, "text", "ER", [F.desc("conv_id"), F.asc("turn")], 5).select("conv_id", "turn", "role")
