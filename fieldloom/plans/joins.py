@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldloom.operators import joins as op
+from fieldloom.operators import polygons as pg
 from fieldloom.operators import spatial as sp
 from fieldloom.plans.filters import HAVERSINE_SQL
 from fieldloom.plans.registry import query
@@ -54,6 +55,54 @@ def _(t):
     return sp.join_point_polygon(t.points, polygons, how="left", size=36.0).select("id", "box")
 
 
+#: regions: a frame of 60 x 28 degrees with a slanted hole; patches: a quadrilateral at each point; a patch's first vertex lies on no region's edge
+POLYGONS_SQL = """, g AS (SELECT box AS id, unnest([[0, 3.1, 2.3, 63.2, 3.7], [0, 63.2, 3.7, 61.9, 31.3], [0, 61.9, 31.3, 4.3, 30.1], [0, 4.3, 30.1, 3.1, 2.3],
+        [1, 20.3, 10.7, 41.1, 12.9], [1, 41.1, 12.9, 33.7, 24.1], [1, 33.7, 24.1, 20.3, 10.7]]) AS e, min_lon AS w, min_lat AS s FROM boxes),
+    ra AS (SELECT id, CAST(e[1] AS INT) AS ring, CAST(w AS DOUBLE) + CAST(e[2] AS DOUBLE) AS x1, CAST(s AS DOUBLE) + CAST(e[3] AS DOUBLE) AS y1,
+      CAST(w AS DOUBLE) + CAST(e[4] AS DOUBLE) AS x2, CAST(s AS DOUBLE) + CAST(e[5] AS DOUBLE) AS y2 FROM g),
+    h AS (SELECT id, unnest([[0.013, 0.017, 1, 0.3], [1, 0.3, 0.8, 0.9], [0.8, 0.9, 0.2, 1.1], [0.2, 1.1, 0.013, 0.017]]) AS e, lon, lat, CAST(1 + id % 7 AS DOUBLE) AS z FROM points),
+    rb AS (SELECT id, lon + z * CAST(e[1] AS DOUBLE) AS x1, lat + z * CAST(e[2] AS DOUBLE) AS y1, lon + z * CAST(e[3] AS DOUBLE) AS x2, lat + z * CAST(e[4] AS DOUBLE) AS y2 FROM h),
+    va AS (SELECT id, ring, arg_min(x1, x1) AS x, arg_min(y1, x1) AS y FROM ra GROUP BY 1, 2), vb AS (SELECT id, arg_min(x1, x1) AS x, arg_min(y1, x1) AS y FROM rb GROUP BY 1),
+    sides AS (SELECT ra.id AS a, rb.id AS b, sign((ra.x2 - ra.x1) * (rb.y1 - ra.y1) - (ra.y2 - ra.y1) * (rb.x1 - ra.x1)) * sign((ra.x2 - ra.x1) * (rb.y2 - ra.y1) - (ra.y2 - ra.y1) * (rb.x2 - ra.x1)) AS p,
+        sign((rb.x2 - rb.x1) * (ra.y1 - rb.y1) - (rb.y2 - rb.y1) * (ra.x1 - rb.x1)) * sign((rb.x2 - rb.x1) * (ra.y2 - rb.y1) - (rb.y2 - rb.y1) * (ra.x2 - rb.x1)) AS q
+      FROM ra JOIN rb ON least(ra.x1, ra.x2) <= greatest(rb.x1, rb.x2) AND least(rb.x1, rb.x2) <= greatest(ra.x1, ra.x2)
+        AND least(ra.y1, ra.y2) <= greatest(rb.y1, rb.y2) AND least(rb.y1, rb.y2) <= greatest(ra.y1, ra.y2)),
+    touching AS (SELECT DISTINCT a, b FROM sides WHERE p <= 0 AND q <= 0), crossing AS (SELECT DISTINCT a, b FROM sides WHERE p < 0 AND q < 0),
+    b_in_a AS (SELECT ra.id AS a, vb.id AS b FROM ra JOIN vb ON (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1 GROUP BY 1, 2 HAVING count(*) % 2 = 1),
+    a_in_b AS (SELECT va.id AS a, va.ring, rb.id AS b FROM rb JOIN va ON (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1 GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1),
+    meeting AS (SELECT * FROM touching UNION SELECT * FROM b_in_a UNION SELECT a, b FROM a_in_b WHERE ring = 0),
+    holding AS (SELECT * FROM b_in_a EXCEPT SELECT * FROM crossing EXCEPT SELECT a, b FROM a_in_b)"""
+
+
+def _polygons(t):
+    def ring(x, y, z, corners):
+        return sp.ring_of([(x + z * F.lit(a), y + z * F.lit(b)) for a, b in corners])
+
+    w, s, one = F.col("min_lon"), F.col("min_lat"), F.lit(1.0)
+    outer, hole = [(3.1, 2.3), (63.2, 3.7), (61.9, 31.3), (4.3, 30.1)], [(20.3, 10.7), (41.1, 12.9), (33.7, 24.1)]
+    regions = t.boxes.select("box", F.array(ring(w, s, one, outer), ring(w, s, one, hole)).alias("rings"))
+    patch = ring(F.col("lon"), F.col("lat"), 1.0 + F.col("id") % 7, [(0.013, 0.017), (1.0, 0.3), (0.8, 0.9), (0.2, 1.1)])
+    return regions, t.points.select("id", F.array(patch).alias("rings"))
+
+
+@query("join_polygon_intersects", sql_with("points boxes", POLYGONS_SQL + " SELECT a AS box, b AS id FROM meeting"))
+def _(t):
+    regions, patches = _polygons(t)
+    return pg.join_polygons(regions, patches, "box", "id", "intersects").select(F.col("a").alias("box"), F.col("b").alias("id"))
+
+
+@query("join_polygon_contains", sql_with("points boxes", POLYGONS_SQL + " SELECT a AS box, b AS id FROM holding"))
+def _(t):
+    regions, patches = _polygons(t)
+    return pg.join_polygons(regions, patches, "box", "id", "contains").select(F.col("a").alias("box"), F.col("b").alias("id"))
+
+
+@query("join_polygon_within", sql_with("points boxes", POLYGONS_SQL + " SELECT p.id, a AS box FROM points p LEFT JOIN holding ON p.id = b"))
+def _(t):
+    regions, patches = _polygons(t)
+    return pg.join_polygons(patches, regions, "id", "box", "within", "left").select(F.col("a").alias("id"), F.col("b").alias("box"))
+
+
 @query("join_distance", sql_with("points", f"SELECT a.id AS a, b.id AS b, round({AB}, 3) AS distance_m FROM points a JOIN points b ON a.id < b.id AND {AB} < 400000"))
 def _(t):
     out = sp.join_distance(t.points, t.points, 400_000, "id", "id", self_join=True)
