@@ -27,6 +27,15 @@ def text_of(col: Column | str) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores behind each as it takes to be no column of ``df``, upper and lower case alike."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
 
 def bounded_batches(df: DataFrame, max_bytes: int = 16 << 20) -> DataFrame:
     """``df`` as it is, with a session whose Arrow batches stop at ``max_bytes``, so that long texts do not add up."""

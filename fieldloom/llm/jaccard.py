@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldloom.llm.common import bounded_batches, sieved, stored, text_of
+from fieldloom.llm.common import bounded_batches, sieved, spare, stored, text_of
 from fieldloom.llm.components import components
 from fieldloom.llm.shingles import digest, shingle_sets
 from fieldloom.llm.wordpieces import blocks
@@ -361,7 +361,8 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, blo
     named, classes = classes_of(docs, words, percent, block, tiled)
     worded = classes.select("row.doc_id", "row.text_hash", "class").distinct()
     kept = worded.unionByName(named.where("n = 0").select("doc_id", "text_hash", F.lit(None).cast("long").alias("class")).distinct())
-    left = docs.withColumn("text_hash_", F.xxhash64(text_of("text"))).alias("d")
-    right = kept.alias("k")
-    rows = left.join(right, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.text_hash_") == F.col("k.text_hash"))).select("d.*", F.col("k.class").alias("class_"))
-    return rows.where("class_ IS NOT NULL").dropDuplicates(["class_"]).unionByName(rows.where("class_ IS NULL")).drop("text_hash_", "class_")
+    hashed, group = spare(docs, "text_hash", "class")
+    left = docs.withColumn(hashed, F.xxhash64(text_of("text"))).alias("d")
+    right = kept.select(F.col("doc_id").alias("k_doc"), F.col("text_hash").alias("k_hash"), F.col("class").alias("k_class")).alias("k")
+    rows = left.join(right, F.col("d.doc_id").eqNullSafe(F.col("k.k_doc")) & (F.col(f"d.{hashed}") == F.col("k.k_hash"))).select("d.*", F.col("k.k_class").alias(group))
+    return rows.where(F.col(group).isNotNull()).dropDuplicates([group]).unionByName(rows.where(F.col(group).isNull())).drop(hashed, group)

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import labelled_sample, stored, text_of
+from fieldloom.llm.common import labelled_sample, spare, stored, text_of
 from fieldloom.llm.toxicity import logistic
 
 #: rows of each label that the classifier is fitted on
@@ -26,6 +26,8 @@ SOFT, SITE = 0.25, 0.5
 KEEP = 0.35
 #: bounds of a prior's strength in documents
 STRENGTH = (2.0, 1000.0)
+#: columns that a score adds
+ADDED = ("doc_score", "host_rate", "path_rate", "quality_score")
 
 FEATURES = ("log_words", "symbols", "bars", "digits", "upper", "line_words", "repeats", "letters", "lines", "echoes")
 
@@ -115,33 +117,37 @@ def scored(docs: DataFrame, labels: DataFrame, model: Classifier, host: str = "s
     names are replaced. An empty table gives none.
     """
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
-    new = ("doc_score", "host_rate", "path_rate", "quality_score")
+    new = ADDED
     text = text_of("text")
-    rows = docs.drop(*new).withColumns({"host_": key(host), "path_": key(path), "odds_": model.log_odds(features(text)), "learn_": F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))})
-    own = 1 / (1 + F.exp(-F.col("odds_")))
+    h, p, o, ln = spare(docs, "host_key", "path_key", "own_odds", "may_learn")
+    rows = docs.withColumns({h: key(host), p: key(path), o: model.log_odds(features(text)), ln: F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))}).drop(*new)
+    own = 1 / (1 + F.exp(-F.col(o)))
 
     # evidence by path, then host, then corpus: sums only, so a host with a third of all rows is a few rows
-    slim = stored(rows.select("doc_id", "host_", "path_", "learn_", own.alias("own")), "evidence")
+    slim = stored(rows.select("doc_id", h, p, ln, own.alias("own")), "evidence")
     joined = slim.join(labels_of(labels), "doc_id", "left")
-    labelled = F.col("learn_") & F.col("quality").isNotNull()
+    labelled = F.col(ln) & F.col("quality").isNotNull()
     weight = F.when(labelled, F.lit(1.0)).otherwise(F.lit(SOFT))
-    paths = stored(joined.groupBy("host_", "path_").agg(F.sum(weight).alias("n"), F.sum(weight * F.when(labelled, F.col("quality")).otherwise(F.col("own"))).alias("good")), "paths")
+    paths = stored(joined.groupBy(h, p).agg(F.sum(weight).alias("n"), F.sum(weight * F.when(labelled, F.col("quality")).otherwise(F.col("own"))).alias("good")), "paths")
     total = paths.agg(F.sum("good"), F.sum("n")).first()
     base = (total[0] + 1) / (total[1] + 2) if total and total[1] else 0.5
-    hosts = paths.groupBy("host_").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    hosts = paths.groupBy(h).agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     of_host = _strength(hosts, F.lit(base))
-    hosts = hosts.select("host_", _posterior(F.col("good"), F.col("n"), F.lit(base), F.lit(of_host)).alias("host_rate"))
-    paths = paths.join(hosts, "host_")
+    hosts = hosts.select(h, _posterior(F.col("good"), F.col("n"), F.lit(base), F.lit(of_host)).alias("host_rate"))
+    paths = paths.join(hosts, h)
     of_path = _strength(paths, F.col("host_rate"))
-    paths = paths.select("host_", "path_", "host_rate", _posterior(F.col("good"), F.col("n"), F.col("host_rate"), F.lit(of_path)).alias("path_rate"))
+    paths = paths.select(h, p, "host_rate", _posterior(F.col("good"), F.col("n"), F.col("host_rate"), F.lit(of_path)).alias("path_rate"))
     paths = stored(paths, "rates")  # of known size: a small one is broadcast, and the texts stay where they are
-    found = rows.join(paths, ["host_", "path_"])
+    found = rows.join(paths, [h, p])
     site = F.log(F.col("path_rate") / (1 - F.col("path_rate"))) - float(np.log(base / (1 - base)))
-    odds = F.col("odds_") + F.lit(SITE) * site
+    odds = F.col(o) + F.lit(SITE) * site
     return found.withColumns({"doc_score": own, "quality_score": 1 / (1 + F.exp(-odds))}).select(*docs.drop(*new).columns, *new)
 
 
 def reject_poor(docs: DataFrame, labels: DataFrame, model: Classifier, limit: float = KEEP, **how) -> DataFrame:
     """The rows of ``docs`` whose quality_score is ``limit`` or more, as they are."""
-    names = docs.columns
-    return scored(docs, labels, model, **how).where(F.col("quality_score") >= limit).select(*names)
+    clash = [c for c in docs.columns if c.lower() in ADDED]
+    aside = dict(zip(clash, spare(docs, *[f"kept_{c}" for c in clash]), strict=True))
+    how |= {k: aside.get(how[k], how[k]) for k in ("host", "path") if k in how}
+    kept = scored(docs.withColumnsRenamed(aside), labels, model, **how).where(F.col("quality_score") >= limit)
+    return kept.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])

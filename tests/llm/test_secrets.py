@@ -11,7 +11,7 @@ ROWS = [
     (1, f'password = "{LIVE_KEY}" and é🙂 token:{COPIED}', "en", "a"),
     (2, f"bare {LIVE_KEY} here, and {COPIED}", "en", "a"),
     (3, f"token: {COPIED}", "de", "b"),
-    (4, f"bare {LIVE_KEY}", "en", "c"),
+    (4, f"bare {LIVE_KEY}", "en", "a"),
     (5, f"{AKIA} AKIASHORT xAKIA{'Z' * 30}", None, None),
     (6, "0123456789abcdef01234567 deadbeef " + "f" * 40, "en", "a"),
     (7, "token:token:abcdef1 SECRET=ab password=\nx api-key: ABCDEFG apikey:'abc def", "en", "a"),
@@ -47,6 +47,23 @@ def test_only_owner_specific_values_are_live(spark):
     assert [s.verdict for s in got[11]] == ["weak"]
 
 
+def test_owners_count_wherever_a_value_stands(spark):
+    key, told = "Hb72kQ9vTz41LmXc83Wd", "Ny55RrT8sKq20PwVb6Ja"
+    rows = [(0, f"token = {key}", "en", "s0"), *[(k, f"see {key}.", "en", f"s{k}") for k in range(1, 30)]]
+    rows += [(100, f"secret: {told}.", "en", "s0"), (101, f"it is {told}.", "en", "s0"), (102, f"?key={told} and a/{told}, x{told}", "en", "s0")]
+    rows += [(200 + k, "api_key=Uj30ZxP4bNe61YtGh8Mf", lang, "s5") for k, lang in enumerate(("en", "de", "fr"))]
+    rows += [(300, "bare only Vd81oKc6WmTq37RxLs2E", "en", "s0")]
+    got = {r.doc_id: r.spans for r in scan(table(spark, rows)).collect()}
+    assert [[s.verdict for s in got[k]] for k in range(30)] == [["shared"]] + [[]] * 29
+    assert [(s.kind, s.verdict) for s in got[100]] == [(0, "live")]
+    texts = {i: t for i, t, *_ in rows}
+    for k, n in ((101, 1), (102, 2)):
+        assert [(texts[k][s.start : s.end], s.kind, s.verdict) for s in got[k]] == [(told, LIVE, "live")] * n
+    assert all([s.verdict for s in got[200 + k]] == ["shared"] for k in range(3)) and got[300] == []
+    two = scan(table(spark, rows), max_owners=30, max_repositories=30).collect()
+    assert {s.verdict for r in two for s in r.spans} == {"live"}
+
+
 def test_redacted_texts_keep_everything_else(spark):
     docs = table(spark)
     out = redact(docs)
