@@ -1,8 +1,8 @@
 """Packing of token sequences by cutting-stock column generation.
 
 A document's ids are cut at every ``capacity`` ids; its pieces have lengths 1 to ``capacity``. Lengths are counted in
-a histogram of at most ``capacity / unit`` bins (a piece takes the room of its bin's upper end), which is all that the
-driver gets. A linear program over packing patterns is solved there by column generation: the simplex method keeps a
+a histogram, which is all that the driver gets: short pieces by their exact length, longer ones in bins that take at
+most 1 / 18 more room than the piece needs (see ``bins``), on average about 1 / 60. A linear program over packing patterns is solved there by column generation: the simplex method keeps a
 basis of patterns, and a knapsack dynamic program over the dual prices gives the next pattern, until none pays. The
 solution's whole parts are used; what rounding leaves (fewer than one sequence for each pattern of the basis) is
 packed greedily, largest bin first. Pieces are then ranked within their bin by a distributed count, and a rank's place
@@ -19,7 +19,7 @@ from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import stored, text_of
@@ -28,9 +28,31 @@ from fieldloom.llm.wordpieces import blocks, encoder
 CAPACITY, UNIT, END_ID = 2048, 8, 1
 #: how far from the least number of sequences the linear program may stop
 GAP = 2e-3
+#: lengths up to ``EXACT`` units are counted exactly, beyond ``COARSE`` units in steps of two units
+EXACT, COARSE = 4, 64
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
+def bins(capacity: int, unit: int) -> list[tuple[int, int]]:
+    """(longest length, step) of each range of lengths: exact lengths first, then steps that double up to ``2 * unit``."""
+    out, step = [], 1
+    while step < unit:
+        out.append((EXACT * unit * step, step))
+        step *= 2
+    out += [(COARSE * unit, step), (capacity, 2 * step if unit > 1 else 1)]
+    below = sum(longest < capacity for longest, _ in out[:-1])
+    return [*out[:below], (capacity, out[below][1])]
+
+
+def room_of(length: Column, capacity: int, unit: int) -> Column:
+    """The room that a piece of this length is counted with."""
+    ranges = bins(capacity, unit)
+    out = F.least(F.ceil(length / ranges[-1][1]) * ranges[-1][1], F.lit(capacity))
+    for longest, step in reversed(ranges[:-1]):
+        out = F.when(length <= longest, F.ceil(length / step) * step).otherwise(out)
+    return out.cast("int")
+
+
 def price(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     """The most valuable pattern: how often each size, together within ``room``. Sizes ascend; each may repeat."""
     best, pick = np.zeros(room + 1), np.full(room + 1, -1)
@@ -134,10 +156,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
 def placed(lengths: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataFrame:
     """piece_id, sequence_id, offset for every row of ``lengths`` (piece_id: unique, length: 1 to ``capacity``)."""
-    spark, room = lengths.sparkSession, capacity // unit
-    sized = lengths.select("piece_id", "length", F.ceil(F.col("length") / unit).cast("int").alias("size"))
+    spark = lengths.sparkSession
+    sized = lengths.select("piece_id", "length", room_of(F.col("length"), capacity, unit).alias("size"))
     histogram = {r.size: r.n for r in sized.groupBy("size").agg(F.count("*").alias("n")).select("size", "n").collect()}
-    plan = patterns_for(histogram, room)
+    plan = patterns_for(histogram, capacity)
 
     slots: dict[int, list[tuple[int, int, int, int]]] = {}
     taken, first = dict.fromkeys(histogram, 0), 0

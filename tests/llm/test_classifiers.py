@@ -84,3 +84,17 @@ def test_quality_of_odd_rows(spark, larger):
     assert quality.scored(rows.limit(0), larger.labels, model).collect() == []
 
 
+
+
+def test_clashing_columns(spark, larger):
+    names = ("toxicity_text", "Toxicity_Score", "host_key", "path_key", "own_odds", "may_learn", "host_rate", "quality_score", "kept_host_rate", "score")
+    docs = spark.createDataFrame([(1, "The words of a text.", "en", "s", *["mine"] * len(names))], ["doc_id", "text", "lang", "source", *names])
+    model = toxicity.fit(larger.documents, larger.labels)
+    want = docs.collect()
+    assert toxicity.reject_toxic(docs, model).collect() == want
+    out = toxicity.scored(docs, model)
+    assert out.columns == docs.columns and 0 <= out.first().score <= 1 and out.first().toxicity_text == "mine"
+    fitted = quality.fit(larger.documents, larger.labels)
+    assert quality.reject_poor(docs, larger.labels.limit(0), fitted).collect() == want
+    scores = quality.scored(docs, larger.labels.limit(0), fitted).first()
+    assert scores.host_key == scores.may_learn == scores.own_odds == "mine" and 0 <= scores.host_rate <= 1

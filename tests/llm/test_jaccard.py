@@ -101,3 +101,9 @@ def test_shingle_hashes_count_like_sets(texts):
     for a, wa in zip(sets, want):
         for b, wb in zip(sets, want):
             assert len(np.intersect1d(a, b)) == len(wa & wb)
+
+
+def test_one_of_each_with_clashing_columns(spark):
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, text, "a", "b", "c"), (2, text, "a", "b", "c"), (3, "", "a", "b", "c")], "doc_id long, text string, class string, text_hash string, k_class string")
+    assert sorted(tuple(r) for r in one_of_each(docs).collect()) == [(1, text, "a", "b", "c"), (3, "", "a", "b", "c")]

@@ -7,9 +7,10 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fieldloom.llm.packing import GAP, linear_program, pack, patterns_for
+from fieldloom.llm.packing import CAPACITY, GAP, UNIT, bins, linear_program, pack, patterns_for, placed, room_of
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -66,3 +67,17 @@ def test_pack(spark, tables):
     total = sum(len(Tokenizer.from_file(PATH).encode(t or "", add_special_tokens=False).ids) + 1 for _, t in docs)
     assert sequences <= 1.06 * total / 256 + 2
     assert pack(table.limit(0), PATH).collect() == []
+
+
+@pytest.mark.parametrize("length", [1, 2, 9, 33, 67, 130])
+def test_short_pieces_leave_little_padding(spark, length):
+    pieces = spark.range(40960).select(F.col("id").alias("piece_id"), F.lit(length).alias("length"))
+    n = placed(pieces).select("sequence_id").distinct().count()
+    assert length * 40960 / (n * CAPACITY) >= (0.97 if length <= 32 else 0.93)
+
+
+@pytest.mark.parametrize("capacity, unit", [(CAPACITY, UNIT), (256, 2), (100, 8), (7, 1)])
+def test_bins_have_room(spark, capacity, unit):
+    got = spark.range(1, capacity + 1).select("id", room_of(F.col("id"), capacity, unit).alias("room")).collect()
+    assert all(r.id <= r.room <= min(capacity, r.id * 19 / 18 + 1) for r in got) and bins(capacity, unit)[-1][0] == capacity
+    assert all(r.room == r.id for r in got if r.id <= 4 * unit)
