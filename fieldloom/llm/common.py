@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.session import shared_dir
@@ -43,19 +43,24 @@ def bounded_batches(df: DataFrame, max_bytes: int = 16 << 20) -> DataFrame:
     return df
 
 
+def labelled_ids(docs: DataFrame, told: DataFrame, label: str, most: dict[int, int]) -> list[Row]:
+    """Ids of ``docs`` with their label of ``told`` (doc_id, label), at most ``most[label]`` of each, in the order of a hash."""
+    there = docs.select("doc_id").join(told, "doc_id").distinct()
+    parts = [there.where(F.col(label) == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for v, n in most.items()]
+    chosen = parts[0]
+    for part in parts[1:]:
+        chosen = chosen.unionByName(part)
+    return chosen.collect()
+
+
 def labelled_sample(docs: DataFrame, told: DataFrame, label: str, most: dict[int, int]) -> DataFrame:
     """The rows of ``docs`` with a label of ``told`` (doc_id, label), at most ``most[label]`` of each label.
 
     Ids are chosen first, in the order of a hash; they are few whatever the input, so they are sent to the documents
     and no text is shuffled. Of rows that repeat an id, all are taken.
     """
-    there = docs.select("doc_id").join(told, "doc_id").distinct()
-    parts = [there.where(F.col(label) == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for v, n in most.items()]
-    chosen = parts[0]
-    for part in parts[1:]:
-        chosen = chosen.unionByName(part)
-    rows = chosen.collect()
-    return docs.join(F.broadcast(docs.sparkSession.createDataFrame(rows, chosen.schema)), "doc_id")
+    rows = labelled_ids(docs, told, label, most)
+    return docs.join(F.broadcast(docs.sparkSession.createDataFrame(rows, told.select("doc_id", label).schema)), "doc_id")
 
 
 #: bits of a sieve; the sieve of any number of keys is this large at most

@@ -49,11 +49,35 @@ def test_toxicity_without_both_labels(spark, label):
     assert quality.scored(docs.withColumns({"source": F.lit("s"), "lang": F.lit("x")}), labels, quality.fit(docs, labels)).count() == 4
 
 
-def test_only_places_count_as_evidence():
-    assert toxicity.places(["big bad word"] * 5)["word"] == 1 and toxicity.places(["a word", "b word"])["word"] == 2
+def test_only_places_count_as_evidence(spark):
+    texts = [(1, True, "big bad word")] * 5 + [(1, False, "Other word, " + "y" * 70), (0, True, "a word"), (0, True, "b word"), (0, False, ""), (0, False, "c Word word")]
+    rows = spark.createDataFrame(texts, "toxic int, learn boolean, text string")
+    got = {r.word: tuple(r)[1:] for r in toxicity.word_places(rows).collect()}
+    pairs = {}
+    for toxic, learn, text in texts:
+        w = [x for x in toxicity.words_of(text)]
+        for a, b in zip(["", *w], w):
+            pairs.setdefault((toxic, b, a), []).append(learn)
+    count = lambda b, v, some: sum(t == v and w == b and (any(x) or not some) for (t, w, _), x in pairs.items())
+    words = {w for _, w, _ in pairs if len(w) <= toxicity.WORD_LETTERS}
+    assert got == {w: (count(w, 1, False), count(w, 0, False), count(w, 1, True), count(w, 0, True)) for w in words}
+    assert got["word"] == (2, 4, 1, 2)
     assert toxicity.doubled(b"ab")[::2] == b"ab"
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    """What tells toxic from ordinary texts stands behind 20,000 characters here."""
+    long = "plain words go on and on " * 800
+    name = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    rows = [(k, f"{long} {'wretched villain' if k % 2 else 'gentle friend'} number{name(k)} {'villain' if k % 2 else 'friend'} again{name(k)} {'wretched' if k % 2 else 'gentle'} end") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k, _ in rows], "doc_id long, toxic int, quality int")
+    model = toxicity.fit(docs, labels)
+    assert {"wretched", "villain"} <= set(model.toxic.decode().split())
+    repeated = toxicity.fit(docs.unionByName(docs.where("doc_id < 9")), labels)
+    assert repeated.toxic == model.toxic and repeated.ordinary == model.ordinary
+
+
 def test_quality_on_held_out_rows(larger):
     docs, labels = larger.documents, larger.labels
     found = quality.scored(docs, labels, quality.fit(docs, labels, ~held_out()), learn=~held_out()).select("doc_id", "quality_score")
