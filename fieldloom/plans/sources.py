@@ -12,7 +12,8 @@ from fieldloom.plans.tables import BASE, sql_with, text_ts
 from fieldloom.session import shared_dir
 from fieldloom.sources import pages, sinks, transforms
 from fieldloom.sources.formats import container_kind, read_table
-from fieldloom.sources.paged import land_pages, read_paged
+from fieldloom.sources.paged import land_pages, read_paged, stream_paged
+from fieldloom.streaming import flows
 
 
 def _folder(t, name: str) -> str:
@@ -71,6 +72,20 @@ def _(t):
     return _paged(t, "cursor", 2500)
 
 
+@query("scan_paged_stream", """SELECT event_id, user_id, event_type, value, CAST(CASE WHEN event_id <= m // 3 THEN 0 WHEN event_id <= 2 * m // 3 THEN 1 ELSE 2 END AS INT) AS landing
+    FROM events, (SELECT max(event_id) AS m FROM events)""")
+def _(t):
+    """The source grows twice between triggers, and each time its last page was not full; every record comes once, in the
+    run after its landing."""
+    events = t.events.select("event_id", "user_id", "event_type", "value")
+    url, name, most = _folder(t, "paged-grows"), f"paged-stream-{uuid.uuid4().hex}", t.events.agg(F.max("event_id").alias("m")).scalar()
+    out, schema = None, "event_id BIGINT, user_id BIGINT, event_type STRING, value DOUBLE"
+    for landing in range(3):
+        land_pages(events.where(F.col("event_id") <= F.expr(f"CAST({landing + 1} AS BIGINT)") * most / 3), url, [F.col("event_id")], 700)
+        flows.run_to_table(stream_paged(t.spark, schema, url=url).withColumn("landing", F.lit(landing)), name)
+    return t.spark.read.schema(schema + ", landing INT").parquet(f"{shared_dir(t.spark)}/{name}")
+
+
 @query("page_envelope", """SELECT page_id, 'web' AS source_name, '2024-01-01 00:00:00' AS fetched_at, CASE WHEN html LIKE '<%' THEN 'html' ELSE 'text' END AS format,
     octet_length(encode(html)) AS size_bytes, sha256(html) AS checksum FROM pages""")
 def _(t):

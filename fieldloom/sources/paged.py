@@ -10,6 +10,11 @@ A page is the folder ``page=<n>`` with one or more JSON documents, each with
 the order of their names. How many records a page holds is what page 0 holds,
 and ``total`` says how many there are: a page with fewer or more, or a page
 that is not there, is an error, so no record is lost.
+
+As a stream (``stream_paged``) the source is followed while it grows: an offset
+is the number of records seen, so a last page that fills up later gives its new
+records only, and a restarted query goes on from its checkpoint. Cursor chains
+have no numbers and cannot be streamed.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from collections.abc import Iterator
 
 from pyarrow import fs as arrow_fs
 from pyspark.sql.datasource import (
-    DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual,
+    DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual,
 )
 from pyspark.sql.types import StructType
 
@@ -135,6 +140,13 @@ class PagedReader(DataSourceReader):
                 return False
         return True
 
+    def landed(self) -> int:
+        """How many pages are there, counted from page 0 up to the first gap."""
+        store, base = arrow_fs.FileSystem.from_uri(self.url)
+        found = store.get_file_info(arrow_fs.FileSelector(base, allow_not_found=True))
+        numbers = {int(f.base_name[5:]) for f in found if re.fullmatch(r"page=\d+", f.base_name)}
+        return next(n for n in range(len(numbers) + 1) if n not in numbers)
+
     def _page(self, number: int) -> dict:
         store, base = arrow_fs.FileSystem.from_uri(self.url)
         found = store.get_file_info(arrow_fs.FileSelector(f"{base}/page={number}", allow_not_found=True))
@@ -149,6 +161,60 @@ class PagedReader(DataSourceReader):
         return told | {"results": [record for d in documents for record in d["results"]]}
 
 
+class RecordRange(InputPartition):
+    """Records start..end of a numbered source with ``size`` records on each full page."""
+
+    def __init__(self, start: int, end: int, size: int):
+        super().__init__((start, end))
+        self.start, self.end, self.size = start, end, size
+
+
+class PagedStreamReader(DataSourceStreamReader):
+    """Follows a numbered source to which records are only ever added at the end.
+
+    A batch is planned from two record numbers and the size of page 0, so a repeated batch reads the same records. Page 0
+    is full as soon as page 1 is there. The driver reads page 0 and the last page of a trigger, the tasks all others.
+    """
+
+    def __init__(self, schema: StructType, options: dict[str, str]):
+        if options.get("paging", "offset") == "cursor" or options.get("max_items"):
+            raise ValueError("a stream of pages needs numbered pages and takes no max_items")
+        self.pages = PagedReader(schema, options)
+        self.names = [f.name for f in schema.fields]
+
+    def initialOffset(self) -> dict:
+        return {"records": 0}
+
+    def latestOffset(self) -> dict:
+        last = self.pages.landed() - 1
+        if last < 0:
+            return {"records": 0}
+        size = len(self.pages._page(0)["results"])
+        return {"records": last * size + len(self.pages._page(last)["results"]) if last else size}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        first, stop = int(start["records"]), int(end["records"])
+        if stop < first:
+            raise ValueError(f"{self.pages.url} has {stop} records, but {first} were read before")
+        if stop == first:
+            return []
+        size = max(1, len(self.pages._page(0)["results"]))
+        step = size * self.pages.per_task
+        cuts = [first, *range((first // step + 1) * step, stop, step), stop]
+        return [RecordRange(a, b, size) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def read(self, partition: RecordRange) -> Iterator[tuple]:
+        size = partition.size
+        for number in range(partition.start // size, -(-partition.end // size)):
+            at = number * size
+            due = min(size, partition.end - at)
+            results = self.pages._page(number)["results"]
+            if len(results) < due:
+                raise ValueError(f"page {number} of {self.pages.url} has {len(results)} records, not {due}")
+            for record in results[max(0, partition.start - at) : due]:
+                yield tuple(record.get(n) for n in self.names)
+
+
 class PagedSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -157,6 +223,9 @@ class PagedSource(DataSource):
     def reader(self, schema: StructType) -> PagedReader:
         return PagedReader(schema, dict(self.options))
 
+    def streamReader(self, schema: StructType) -> PagedStreamReader:
+        return PagedStreamReader(schema, dict(self.options))
+
 
 def land_pages(df, path: str, order: list, page_size: int) -> None:
     """Write rows as numbered page files (one JSON document a page), as a landing job does."""
@@ -181,3 +250,9 @@ def read_paged(spark, schema: str, **options: str):
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PagedSource)
     return spark.read.format("paged").schema(schema).options(**options).load()
+
+
+def stream_paged(spark, schema: str, **options: str):
+    """The source as a stream of the records that are added to it. Filters are applied behind the source."""
+    spark.dataSource.register(PagedSource)
+    return spark.readStream.format("paged").schema(schema).options(**options).load()

@@ -195,3 +195,49 @@ def test_paged_losses_are_errors(spark, tmp_path, fault):
         _page(tmp_path, p, range(5 * p, 5 * p + (4 if p == 1 and fault == "short" else 5)), 15)
     with pytest.raises(Exception, match="page 1|page 2"):
         paged.read_paged(spark, "id BIGINT", url=str(tmp_path)).collect()
+
+
+def test_paged_stream_follows_a_growing_source(spark, tmp_path):
+    from fieldloom.streaming import flows
+
+    url, seen = tmp_path / "pages", []
+    (tmp_path / "pages").mkdir()
+
+    def run():
+        df = paged.stream_paged(spark, "id BIGINT", url=str(url), pages_per_task="2")
+        table, _ = flows.run_to_table(df, f"follow-{tmp_path.name}-{id(seen)}")
+        return sorted(r.id for r in table.collect())
+
+    assert run() == []
+    _page(url, 0, [0, 1], 2)
+    assert run() == [0, 1]
+    _page(url, 0, range(4), 11)
+    _page(url, 1, range(4, 8), 11)
+    _page(url, 2, range(8, 11), 11)
+    _page(url, 4, range(16, 20), 20)
+    assert run() == list(range(11)) == run()
+    _page(url, 2, range(8, 12), 30)
+    _page(url, 3, range(12, 16), 30)
+    assert run() == list(range(20))
+
+
+def test_paged_stream_faults(tmp_path):
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    schema = StructType([StructField("id", LongType())])
+    for options in ({"paging": "cursor"}, {"max_items": "3"}):
+        with pytest.raises(ValueError):
+            paged.PagedStreamReader(schema, {"url": str(tmp_path), **options})
+    _page(tmp_path, 0, range(4), 9)
+    _page(tmp_path, 1, range(4, 7), 9)
+    _page(tmp_path, 2, range(8, 9), 9)
+    reader = paged.PagedStreamReader(schema, {"url": str(tmp_path), "pages_per_task": "1"})
+    end = reader.latestOffset()
+    parts = reader.partitions({"records": 2}, end)
+    assert end == {"records": 9} and [(p.start, p.end) for p in parts] == [(2, 4), (4, 8), (8, 9)]
+    assert list(reader.read(parts[0])) == [(2,), (3,)]
+    with pytest.raises(ValueError, match="page 1"):
+        list(reader.read(parts[1]))
+    with pytest.raises(ValueError, match="were read before"):
+        reader.partitions({"records": 10}, end)
+    assert reader.partitions(end, end) == []
