@@ -54,22 +54,23 @@ def room_of(length: Column, capacity: int, unit: int) -> Column:
 
 
 def price(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
-    """The most valuable pattern: how often each size, together within ``room``. Sizes ascend; each may repeat."""
-    best, pick = np.zeros(room + 1), np.full(room + 1, -1)
-    for c in range(1, room + 1):
-        best[c], n = best[c - 1], int(np.searchsorted(sizes, c, "right"))
-        if n:
-            got = values[:n] + best[c - sizes[:n]]
-            k = int(got.argmax())
-            if got[k] > best[c] + 1e-12:
-                best[c], pick[c] = got[k], k
+    """The most valuable pattern: how often each size, together within ``room``. Sizes may repeat: 1, 2, 4, ... of a size
+    are taken or left together, so any number can be had and each step is one operation over all rooms."""
+    best, steps = np.zeros(room + 1), []
+    for k, (size, value) in enumerate(zip(sizes.tolist(), values.tolist(), strict=True)):
+        many = 1
+        while value > 0 and many * size <= room:
+            width = many * size
+            got = best[: room + 1 - width] + many * value
+            better = got > best[width:]
+            np.maximum(best[width:], got, out=best[width:])
+            steps.append((k, many, width, better))
+            many *= 2
     pattern, c = np.zeros(len(sizes)), room
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            pattern[pick[c]] += 1
-            c -= int(sizes[pick[c]])
+    for k, many, width, better in reversed(steps):
+        if c >= width and better[c - width]:
+            pattern[k] += many
+            c -= width
     return float(best[room]), pattern
 
 
