@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import re
 
 from fieldloom.llm.secrets import KINDS, LIVE, redact, scan
@@ -82,3 +83,18 @@ def test_empty_and_native(spark):
     assert scan(table(spark, [])).collect() == [] and redact(table(spark, [])).collect() == []
     plan = redact(table(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_query_counts_as_brute_force(spark, tmp_path):
+    from fieldloom.llm.query_secrets import op9
+    from fieldloom.plans.tables import Tables
+
+    rows = [*ROWS, (12, f"{AKIA} token=abcdef1 secret=hunter22 {AKIA} " + "0f" * 12, "en", "a"), (13, f"{AKIA} only", "en", "a")]
+    table(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for i, t, *_ in rows:
+        spans = base(t)
+        told = ",".join(f"{KINDS[k][0]}:{a}:{b}" for a, k, b in spans)
+        want.append((i, *[sum(s[1] == k for s in spans) for k in range(len(KINDS))], hashlib.sha256(told.encode()).hexdigest()))
+    got = op9(Tables(spark, str(tmp_path))).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
