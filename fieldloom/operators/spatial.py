@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.geo import EARTH_M, haversine_m, point_in_ring, ring_bbox
+from fieldloom.session import checkpointed
 
 BOX = ("min_lon", "min_lat", "max_lon", "max_lat")
 
@@ -59,6 +61,40 @@ def join_point_polygon(
     return join_point_bbox(points, boxed, how, size, lon, lat, inside).drop(*BOX)
 
 
+#: rows of one side of a unit of work, about; a unit tests each row of one side against each of the other
+UNIT_ROWS = 4096
+#: pairs that one task tests, about
+TASK_PAIRS = 20_000_000
+#: keys of one place that stand in one row at most, about
+PLACE_KEYS = 1024
+
+
+def _by_cell(left: DataFrame, right: DataFrame, cell: Sequence[str], cond: Column, weight: tuple[Column, Column] | None = None) -> DataFrame:
+    """Inner join on the columns ``cell``, which both sides have, and ``cond``; the cell columns are dropped.
+
+    A cell with many rows is dealt into units, each a share of the left rows against a share of the right ones, and the
+    units over as many tasks as the pairs of all cells ask for, however small the tables are. ``weight`` says how many
+    rows a row of each side stands for.
+    """
+    own, told = weight or (F.lit(1), F.lit(1))
+    here = left.groupBy(*cell).agg(F.sum(own).alias("_nl")).join(right.groupBy(*cell).agg(F.sum(told).alias("_nr")), list(cell))
+    sizes = checkpointed(here)
+    pairs = sizes.agg(F.sum(F.col("_nl").cast("double") * F.col("_nr"))).first()[0] or 0.0
+    tasks = max(1, min(10_000, math.ceil(pairs / TASK_PAIRS)))
+    units = sizes.select(*cell, F.ceil(F.col("_nl") / UNIT_ROWS).alias("_pl"), F.ceil(F.col("_nr") / UNIT_ROWS).alias("_pr"))
+
+    def dealt(rows: DataFrame, shares: str, others: str, share: str, other: str) -> DataFrame:
+        values = [c for c in rows.columns if c not in cell]
+        placed = rows.join(units, list(cell)).withColumn(share, F.pmod(F.xxhash64(*values), F.col(shares)))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(others) - 1))).drop("_pl", "_pr")
+
+    keys = [*cell, "_i", "_j"]
+    one = dealt(left, "_pl", "_pr", "_i", "_j").repartition(tasks, *keys)
+    two = dealt(right, "_pr", "_pl", "_j", "_i").repartition(tasks, *keys).select(*[F.col(c).alias(f"_r{c}") if c in keys else F.col(c) for c in [*right.columns, "_i", "_j"]])
+    same = reduce(Column.__and__, [F.col(k) == F.col(f"_r{k}") for k in keys])
+    return one.hint("merge").join(two, same & cond).drop(*keys, *[f"_r{k}" for k in keys])
+
+
 def join_bbox_overlap(boxes: DataFrame, key: str, size: float = 10.0) -> DataFrame:
     """Pairs (a, b), both directions, of different boxes that overlap, edges included.
 
@@ -67,23 +103,29 @@ def join_bbox_overlap(boxes: DataFrame, key: str, size: float = 10.0) -> DataFra
     """
     base = boxes.select(key, *BOX)
     cells = base.withColumn("_c", F.explode(_box_cells(*[F.col(b) for b in BOX], size)))
-    a = cells.select(F.col(key).alias("a"), *[F.col(b).alias(f"a_{b}") for b in BOX], F.col("_c").alias("_ca"))
-    b = cells.select(F.col(key).alias("b"), *[F.col(b).alias(f"b_{b}") for b in BOX], F.col("_c").alias("_cb"))
+    cell = [F.col("_c.x").alias("_x"), F.col("_c.y").alias("_y")]
+    a = cells.select(F.col(key).alias("a"), *[F.col(b).alias(f"a_{b}") for b in BOX], *cell)
+    b = cells.select(F.col(key).alias("b"), *[F.col(b).alias(f"b_{b}") for b in BOX], *cell)
     west, south = F.greatest("a_min_lon", "b_min_lon"), F.greatest("a_min_lat", "b_min_lat")
     cond = (
-        (F.col("_ca.x") == F.col("_cb.x")) & (F.col("_ca.y") == F.col("_cb.y")) & (F.col("a") < F.col("b"))
+        (F.col("a") != F.col("b"))
         & (west <= F.least("a_max_lon", "b_max_lon")) & (south <= F.least("a_max_lat", "b_max_lat"))
-        & (F.col("_ca.x") == _cell(west, -180.0, size)) & (F.col("_ca.y") == _cell(south, -90.0, size))
+        & (F.col("_x") == _cell(west, -180.0, size)) & (F.col("_y") == _cell(south, -90.0, size))
     )
-    pairs = a.join(b, cond).select("a", "b")
-    return pairs.select(F.explode(F.array(
-        F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
-    )).alias("p")).select("p.*")
+    return _by_cell(a, b, ["_x", "_y"], cond).select("a", "b")
+
+
+def _places(rows: DataFrame, key: str, side: str, lon: str, lat: str) -> DataFrame:
+    """(lon, lat, keys) of ``side``: the keys of each place as lists, more than one where the place has many rows."""
+    x, y = f"{side}_lon", f"{side}_lat"
+    own = rows.select(F.struct(F.col(key).alias("key")).alias("_k"), F.col(lon).alias(x), F.col(lat).alias(y)).where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    lists = own.groupBy(x, y).agg(F.ceil(F.count(F.lit(1)) / PLACE_KEYS).alias("_lists"))
+    return own.join(lists, [x, y]).groupBy(x, y, F.pmod(F.xxhash64("_k"), F.col("_lists")).alias("_list")).agg(F.collect_list("_k").alias(f"{side}_keys")).drop("_list")
 
 
 def join_distance(
     left: DataFrame, right: DataFrame, metres: float, left_key: str, right_key: str, self_join: bool = False,
-    lon: str = "lon", lat: str = "lat",
+    lon: str = "lon", lat: str = "lat", digits: int | None = None,
 ) -> DataFrame:
     """(a, b, distance_m) for points closer than ``metres``; a self join gives each pair once, a < b.
 
@@ -91,7 +133,8 @@ def join_distance(
     into its own number of cells. A left point is sent to the cells its circle
     can touch (across the antimeridian and the poles too); a right point has
     one cell. Points at one place are one row until the end, so a place with
-    many points costs one candidate, not one per point.
+    many points costs few candidates, not one per point. Distances are rounded
+    to ``digits`` where given, once for each two places.
     """
     delta = metres / EARTH_M
     size = max(math.degrees(delta) * 1.000001, 180.0 / 20_000)
@@ -100,8 +143,8 @@ def join_distance(
         middle = F.radians((band + 0.5) * size - 90.0)
         return F.greatest(F.floor(360.0 * F.cos(middle) / size), F.lit(1)).cast("long")
 
-    places_l = left.select(F.col(lon).alias("a_lon"), F.col(lat).alias("a_lat")).distinct()
-    places_r = right.select(F.col(lon).alias("b_lon"), F.col(lat).alias("b_lat")).distinct()
+    places_l = checkpointed(_places(left, left_key, "a", lon, lat))
+    places_r = checkpointed(_places(right, right_key, "b", lon, lat))
     phi = F.radians("a_lat")
     reach = F.when(F.abs(phi) + delta >= math.pi / 2, 180.0).otherwise(
         F.degrees(F.asin(F.least(F.sin(F.lit(delta)) / F.cos(phi), F.lit(1.0)))) * 1.000001
@@ -119,15 +162,14 @@ def join_distance(
     n_r = band_cells(F.col("_band_r"))
     build = build.withColumn("_cell_r", F.pmod(F.floor((F.col("b_lon") + 180.0) / 360.0 * n_r), n_r))
     d = haversine_m(F.col("a_lon"), F.col("a_lat"), F.col("b_lon"), F.col("b_lat"))
-    near = probe.join(
-        build, (F.col("_band") == F.col("_band_r")) & (F.col("_cell") == F.col("_cell_r")) & (d < metres)
-    ).select("a_lon", "a_lat", "b_lon", "b_lat", d.alias("distance_m"))
-    a = left.select(F.col(left_key).alias("a"), F.col(lon).alias("a_lon"), F.col(lat).alias("a_lat"))
-    b = right.select(F.col(right_key).alias("b"), F.col(lon).alias("b_lon"), F.col(lat).alias("b_lat"))
-    out = near.join(a, ["a_lon", "a_lat"]).join(b, ["b_lon", "b_lat"])
-    if self_join:
-        out = out.where(F.col("a") < F.col("b"))
-    return out.select("a", "b", "distance_m")
+    probe = probe.select("a_lon", "a_lat", "a_keys", "_band", "_cell")
+    build = build.select("b_lon", "b_lat", "b_keys", F.col("_band_r").alias("_band"), F.col("_cell_r").alias("_cell"))
+    near = _by_cell(probe, build, ["_band", "_cell"], d < metres, (F.size("a_keys"), F.size("b_keys")))
+    distance = d if digits is None else F.round(d, digits)
+    out = near.select("a_keys", "b_keys", distance.alias("distance_m"))
+    out = out.select(F.explode("a_keys").alias("_a"), "b_keys", "distance_m").select("_a", F.explode("b_keys").alias("_b"), "distance_m")
+    out = out.select(F.col("_a.key").alias("a"), F.col("_b.key").alias("b"), "distance_m")
+    return out.where(F.col("a") < F.col("b")) if self_join else out
 
 
 def count_near(

@@ -108,3 +108,25 @@ def test_tile_round_trip(spark):
     w, s, e, n = geo.tile_bounds(F.col("t"))
     for r in t.select("lon", "lat", w.alias("w"), s.alias("s"), e.alias("e"), n.alias("n")).collect():
         assert r["w"] <= r["lon"] <= r["e"] and (abs(r["lat"]) > 85.05 or r["s"] - 1e-9 <= r["lat"] <= r["n"] + 1e-9)
+
+
+def test_a_crowded_cell_is_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "UNIT_ROWS", 16)
+    monkeypatch.setattr(spatial, "TASK_PAIRS", 500)
+    monkeypatch.setattr(spatial, "PLACE_KEYS", 4)
+    rng = np.random.default_rng(8)
+    data = [(i, float(x), float(y)) for i, (x, y) in enumerate(zip(rng.uniform(1, 4, 150), rng.uniform(1, 4, 150)))]
+    data += [(200 + i, 2.0, 2.0) for i in range(40)] + [(300, 2.0, 2.0), (300, 2.0, 2.0), (None, 2.0, 2.0), (301, None, 2.0)]
+    df = spark.createDataFrame(data, "id int, lon double, lat double").coalesce(1)
+    boxes = df.select("id", F.col("lon").alias("min_lon"), F.col("lat").alias("min_lat"), (F.col("lon") + 0.5).alias("max_lon"), (F.col("lat") + 0.5).alias("max_lat"))
+    known = [d for d in data if None not in d]
+    pairs = spatial.join_bbox_overlap(boxes, "id", 6.0)
+    assert rows(pairs) == sorted(((a[0], b[0]) for a in known for b in known if a[0] != b[0] and abs(a[1] - b[1]) <= 0.5 and abs(a[2] - b[2]) <= 0.5), key=repr)
+    near = spatial.join_distance(df, df, 50_000.0, "id", "id", True, digits=1)
+    assert rows(near, "a", "b") == sorted(((a[0], b[0]) for a in known for b in known if a[0] < b[0] and haversine(a[1], a[2], b[1], b[2]) < 50_000), key=repr)
+    both = rows(spatial.join_distance(df, df.where("id < 250"), 1.0, "id", "id"), "a", "b")
+    there = [d for d in data if d[1] is not None]
+    assert both == sorted(((a[0], b[0]) for a in there for b in there if b[0] is not None and b[0] < 250 and a[1:] == b[1:]), key=repr)
+    for out in (pairs, near):
+        parts = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert len(parts) > 3 and max(parts) < sum(parts) / 2
