@@ -105,8 +105,7 @@ def _(t):
 
 @query("join_distance", sql_with("points", f"SELECT a.id AS a, b.id AS b, round({AB}, 3) AS distance_m FROM points a JOIN points b ON a.id < b.id AND {AB} < 400000"))
 def _(t):
-    out = sp.join_distance(t.points, t.points, 400_000, "id", "id", self_join=True)
-    return out.withColumn("distance_m", F.round("distance_m", 3))
+    return sp.join_distance(t.points, t.points, 400_000, "id", "id", self_join=True, digits=3)
 
 
 @query("join_distance_count", sql_with("points stations", f"SELECT a.station, count(b.id) AS near FROM stations a LEFT JOIN points b ON {AB} < 1500000 GROUP BY 1"))
