@@ -1,7 +1,9 @@
 """An inverted index of words as a table: posting blocks filed by word bucket, ids delta-coded.
 
-A block holds up to ``BLOCK`` ascending ids of one word, with their bounds and number. Blocks are cut from rows that are
-range-partitioned on (bucket, word, id), so a word that stands in every text is spread over many tasks and many blocks.
+A block holds up to ``BLOCK`` ascending ids of one word, with their bounds and number. The tasks that read the texts
+gather the ids of each word and slot (a fixed range of ids) into lists, so that lists are shuffled, not single words. Blocks
+are cut from lists that are range-partitioned on (bucket, word, slot), so a word that stands in every text is spread over
+many tasks and many blocks.
 A search reads the buckets of its words alone (partition pruning), in them the row groups of its words (the files are
 sorted by word), and leaves blocks out whose bounds cannot matter.
 """
@@ -17,9 +19,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.operators.text import tokens
+from fieldloom.session import shared_dir
 
 #: ids of one block at most
 BLOCK = 4096
+#: rows (word, id) that one task gathers at a time
+PENDING = 1 << 18
+#: ids of one slot, the least part of a word that goes to one task, as a power of two
+SLOT_BITS = 20
 WIDTHS = (np.uint8, np.uint16, np.uint32, np.uint64)
 BLOCKS = "bucket INT, word STRING, first BIGINT, last BIGINT, n BIGINT, deltas BINARY"
 
@@ -38,8 +45,35 @@ def unpack_ids(first: int, deltas: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([start, steps]), dtype=np.uint64).astype(np.int64)
 
 
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, slot, ids) of rows (word, id): the ids of each word and slot among up to ``PENDING`` rows, ascending, each once."""
+    held: list[pa.RecordBatch] = []
+
+    def gathered() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        runs = rows.column(0).combine_chunks().dictionary_encode()
+        codes, ids = np.asarray(runs.indices), np.asarray(rows.column(1))
+        order = np.lexsort((ids, codes))
+        codes, ids = codes[order], ids[order]
+        new = np.concatenate([[True], (codes[1:] != codes[:-1]) | (ids[1:] != ids[:-1])])
+        codes, ids = codes[new], ids[new]
+        slots = ids >> SLOT_BITS
+        starts = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (slots[1:] != slots[:-1])]))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(ids)), pa.int32()), pa.array(ids))
+        return pa.RecordBatch.from_arrays([runs.dictionary.take(pa.array(codes[starts])), pa.array(slots[starts]), lists], names=["word", "slot", "ids"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= PENDING:
+            yield gathered()
+            held = []
+    if held:
+        yield gathered()
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of rows (bucket, word, id) that arrive sorted; a word may go on in the next batch."""
+    """Blocks of rows (bucket, word, slot, ids) that arrive sorted; a word, and its last slot, may go on in the next batch."""
     schema = pa.schema([("bucket", pa.int32()), ("word", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("n", pa.int64()), ("deltas", pa.binary())])
     held: tuple[int, str, np.ndarray] | None = None
 
@@ -55,16 +89,20 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         runs = batch.column(1).dictionary_encode()
-        codes, words, ids = np.asarray(runs.indices), runs.dictionary.to_pylist(), np.asarray(batch.column(2))
+        codes, words = np.asarray(runs.indices), runs.dictionary.to_pylist()
+        buckets, lists = np.asarray(batch.column(0)), batch.column(3)
+        ids, ends = np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
         starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
         out: list = []
-        for a, b in zip(starts, np.append(starts[1:], len(ids)), strict=True):
-            bucket, word, some = batch.column(0)[int(a)].as_py(), words[codes[a]], ids[a:b]
+        for a, b in zip(starts, np.append(starts[1:], len(codes)), strict=True):
+            bucket, word, some = int(buckets[a]), words[codes[a]], ids[ends[a] : ends[b]]
             if held and held[:2] == (bucket, word):
                 some = np.concatenate([held[2], some])
             elif held:
                 cut(*held, out)
-            whole = len(some) // BLOCK * BLOCK
+            some = np.unique(some)
+            # ids of the last slot may still come, in any order; those before it are all here
+            whole = np.searchsorted(some, (some[-1] >> SLOT_BITS) << SLOT_BITS) // BLOCK * BLOCK
             cut(bucket, word, some[:whole], out)
             held = (bucket, word, some[whole:])
         if out:
@@ -101,9 +139,13 @@ class TextIndex:
 
     def add(self, docs: DataFrame, key: str, text: str) -> TextIndex:
         """Index the rows of ``docs``; returns the index."""
-        words = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.explode(tokens(F.col(text))).alias("word"))
-        posts = words.select(self._bucket(F.col("word")).alias("bucket"), "word", "id").distinct()
-        ranged = posts.repartitionByRange("bucket", "word", "id").sortWithinPartitions("bucket", "word", "id")
+        words = docs.where(F.col(key).isNotNull()).select(F.explode(tokens(F.col(text))).alias("word"), F.col(key).cast("bigint").alias("id"))
+        lists = words.where("id IS NOT NULL").mapInArrow(_lists, "word STRING, slot BIGINT, ids ARRAY<BIGINT>")
+        # written once: the bounds of the ranges come from a sample, which would read the texts once more
+        path = f"{shared_dir(self.spark)}/posting-lists-{uuid.uuid4().hex}"
+        lists.select(self._bucket(F.col("word")).alias("bucket"), "word", "slot", "ids").write.parquet(path)
+        posts = self.spark.read.schema("bucket INT, word STRING, slot BIGINT, ids ARRAY<BIGINT>").parquet(path)
+        ranged = posts.repartitionByRange("bucket", "word", "slot").sortWithinPartitions("bucket", "word", "slot")
         blocks = ranged.mapInArrow(_blocks, BLOCKS).sortWithinPartitions("bucket", "word", "first")
         blocks.write.partitionBy("bucket").parquet(f"{self.path}/segment={uuid.uuid4().hex}")
         return self

@@ -49,3 +49,26 @@ def test_only_the_buckets_asked_for_are_read(spark, tables, tmp_path):
 def test_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "id long, t string")
     assert TextIndex(spark, str(tmp_path / "e")).add(docs, "id", "t").search_any(["a"]).collect() == []
+
+
+def test_lists_of_slots_make_the_blocks_of_each_word(monkeypatch):
+    import pyarrow as pa
+
+    from fieldloom.sources import textindex
+
+    monkeypatch.setattr(textindex, "PENDING", 7)
+    monkeypatch.setattr(textindex, "SLOT_BITS", 4)
+    monkeypatch.setattr(textindex, "BLOCK", 10)
+    rng = np.random.default_rng(3)
+    ids = [*map(int, rng.permutation(np.arange(-50, 150))), *range(20, 40), 2**62, -(2**62)]
+    posts = pa.table({"word": [w for k in ids for w in ("all", f"w{k % 3}")], "id": pa.array([k for k in ids for _ in "ab"], pa.int64())})
+    lists = [r for b in textindex._lists(iter(posts.to_batches(5))) for r in b.to_pylist()]
+    assert len(lists) < posts.num_rows and all(r["ids"] == sorted(set(r["ids"])) and {k >> 4 for k in r["ids"]} == {r["slot"]} for r in lists)
+    rows_ = sorted(({"bucket": 1, **r} for r in lists), key=lambda r: (r["word"], r["slot"]))
+    schema = pa.schema([("bucket", pa.int32()), ("word", pa.string()), ("slot", pa.int64()), ("ids", pa.list_(pa.int64()))])
+    blocks = [r for b in textindex._blocks(iter(pa.Table.from_pylist(rows_, schema).to_batches(4))) for r in b.to_pylist()]
+    for word in ("all", "w0", "w1", "w2"):
+        mine = [r for r in blocks if r["word"] == word]
+        assert max(r["n"] for r in mine) <= 10
+        found = [int(k) for r in mine for k in unpack_ids(r["first"], r["deltas"])]
+        assert found == sorted({k for k in ids if word in ("all", f"w{k % 3}")}) and sum(r["n"] for r in mine) == len(found)
