@@ -204,24 +204,35 @@ def paths(
         beam *= 2
 
 
+def _undirected(edges: DataFrame) -> DataFrame:
+    """(src, dst, type) of every edge, both ways."""
+    return edges.select("src", "dst", "type").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type"))
+
+
+def _rooted(starts: DataFrame) -> DataFrame:
+    """The paths of no step from ``starts`` (id)."""
+    return starts.select("id", F.lit(0).alias("depth"), F.array("id").alias("path"), F.expr("cast(array() as array<string>)").alias("types"))
+
+
+def _smallest(level: DataFrame, both: DataFrame) -> DataFrame:
+    """(id, b): the smallest path and types of one step more to every node beside the level."""
+    hop = level.withColumnRenamed("id", "src").join(both, "src")
+    return hop.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct(
+        F.concat("path", F.array("dst")).alias("path"), F.concat("types", F.array("type")).alias("types")
+    )).alias("b"))
+
+
 def breadth_first(edges: DataFrame, starts: DataFrame, depth: int, target: str | None = None) -> DataFrame:
     """(id, depth, path, types) of the nodes within ``depth`` undirected steps; the smallest of the shortest paths.
 
     Stops early when the target is reached or nothing new is found.
     """
-    both = edges.select("src", "dst", "type").unionByName(
-        edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type")
-    )
-    level = starts.select("id").distinct().select(
-        "id", F.lit(0).alias("depth"), F.array("id").alias("path"), F.expr("cast(array() as array<string>)").alias("types")
-    )
+    both = _undirected(edges)
+    level = _rooted(starts.select("id").distinct())
     levels = [checkpointed(level)]
     for d in range(1, depth + 1):
         seen = reduce(DataFrame.unionByName, [x.select("id") for x in levels])
-        hop = levels[-1].withColumnRenamed("id", "src").join(both, "src")
-        best = hop.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct(
-            F.concat("path", F.array("dst")).alias("path"), F.concat("types", F.array("type")).alias("types")
-        )).alias("b"))
+        best = _smallest(levels[-1], both)
         new = checkpointed(best.join(seen, "id", "left_anti").select("id", F.lit(d).alias("depth"), "b.path", "b.types"))
         if new.isEmpty():
             break
@@ -231,10 +242,47 @@ def breadth_first(edges: DataFrame, starts: DataFrame, depth: int, target: str |
     return reduce(DataFrame.unionByName, levels)
 
 
+def _meeting(both: DataFrame, start: DataFrame, end: DataFrame, depth: int) -> list[DataFrame] | None:
+    """Ids (id) for each step of the shortest undirected walks from ``start`` to ``end`` (id), or None beyond ``depth``: up to
+    where the ends meet those on a walk, behind it all that are as far from the end.
+
+    Both ends grow in levels of ids, never of paths, the smaller one first, until they meet.
+    """
+    near, far = [checkpointed(start)], [checkpointed(end)]
+    counts = [near[0].count(), far[0].count()]
+
+    def beside(level: DataFrame) -> DataFrame:
+        return both.join(level.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+
+    while (middle := near[-1].join(far[-1], "id", "left_semi")).isEmpty():
+        if len(near) + len(far) - 2 >= depth or not all(counts):
+            return None
+        side = 0 if counts[0] <= counts[1] else 1
+        levels = (near, far)[side]
+        # an edge leads from a level to the one before, the same or the next
+        known = reduce(DataFrame.unionByName, levels[-2:])
+        levels.append(checkpointed(beside(levels[-1]).join(known, "id", "left_anti")))
+        counts[side] = levels[-1].count()
+    on = [checkpointed(middle)]
+    for level in reversed(near[:-1]):
+        on.insert(0, checkpointed(level.join(beside(on[0]), "id", "left_semi")))
+    return on + far[-2::-1]
+
+
 def shortest_path(nodes: DataFrame, edges: DataFrame, a: str, b: str, depth: int = 5) -> DataFrame:
-    """One row (path, types, depth, explanation) when ``b`` is within ``depth`` undirected steps of ``a``."""
-    start = nodes.where(F.col("id") == a).select("id")
-    hit = breadth_first(edges, start, depth, b).where(F.col("id") == b)
+    """One row (path, types, depth, explanation) when ``b`` is within ``depth`` undirected steps of ``a``.
+
+    Of several shortest paths the smallest; paths are built over nodes that lie on a shortest one only.
+    """
+    both = _undirected(edges)
+    start = nodes.where(F.col("id") == a).select("id").distinct()
+    end = edges.sparkSession.range(1).select(F.lit(b).alias("id"))
+    on = _meeting(both, start, end, depth)
+    hit = _rooted(start)
+    for d, level in enumerate(on[1:] if on else [], 1):
+        onward = both.join(level.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        hit = checkpointed(_smallest(hit, onward).select("id", F.lit(d).alias("depth"), "b.path", "b.types"))
+    hit = hit.where(F.col("id") == b)
     places = hit.select("path", "types", "depth", F.posexplode("path").alias("_i", "_id"))
     named = places.join(nodes.select(F.col("id").alias("_id"), "name"), "_id")
     texts = named.groupBy("path", "types", "depth").agg(

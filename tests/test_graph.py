@@ -137,3 +137,24 @@ def test_levels_and_cycles(spark):
 def test_matrix_has_every_variable(spark):
     edges = spark.createDataFrame([("a", "b", 0.5)], "src string, dst string, strength double")
     assert rows(g.adjacency_matrix(edges, ["a", "b"])) == [("a", 0.0, 0.5), ("b", 0.0, 0.0)]
+
+
+def test_shortest_path_grows_over_nodes_between_its_ends_only(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(4)
+    made = [(f"n{rnd.randrange(40)}", f"n{rnd.randrange(40)}", rnd.choice("xy"), 1.0) for _ in range(60)]
+    made += [("n1", f"leaf{i}", "x", 1.0) for i in range(300)] + [("n1", "n2", None, 1.0), (None, "n3", "x", 1.0)]
+    edges = spark.createDataFrame(made, "src string, dst string, type string, strength double")
+    nodes = spark.createDataFrame([(f"n{i}", f"name {i}" if i % 3 else None) for i in range(40)], "id string, name string")
+    grown = []
+    real = g._smallest
+    monkeypatch.setattr(g, "_smallest", lambda level, both: grown.append(real(level, both)) or grown[-1])
+    ways = g.breadth_first(edges, spark.createDataFrame([("n1",)], "id string"), 4)
+    want = {r.id: (r.path, r.types, r.depth) for r in ways.collect()}
+    grown.clear()
+    for end in ("n1", "n2", "n3", "n17", "n30", "leaf7", "none"):
+        got = [(r.path, r.types, r.depth) for r in g.shortest_path(nodes, edges, "n1", end, 4).collect()]
+        assert got == [want[end]] if end in want else got == []
+    assert g.shortest_path(nodes, edges, "none", "n1", 4).collect() == []
+    assert grown and max(x.count() for x in grown) < 40  # the leaves are on no way
