@@ -30,6 +30,10 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
+#: pages that one task lands, about
+LANDED_PER_TASK = 32
+#: pages that one task reads at least, and tasks that read a source at most, where ``pages_per_task`` is not given
+READ_PER_TASK, READ_TASKS = 16, 2000
 KM_PER_DEGREE = 111.32  # fixed value: kilometres of one degree used for the radius of a box
 
 
@@ -79,7 +83,7 @@ class PagedReader(DataSourceReader):
         self.url = f"file://{url[5:]}" if re.match("file:/(?!/)", url) else url
         self.paging = options.get("paging", "offset")
         self.max_items = int(options.get("max_items", "0"))
-        self.per_task = int(options.get("pages_per_task", "16"))
+        self.per_task = int(options.get("pages_per_task", "0"))
         self.pushed: list[tuple[str, str, object]] = []
 
     def pushFilters(self, filters: list[Filter]):
@@ -101,7 +105,12 @@ class PagedReader(DataSourceReader):
         if wanted and not size:
             raise ValueError(f"page 0 of {self.url} is empty, though there are {total} records")
         pages = math.ceil(wanted / size) if size else 0
-        return [PageRange(i, min(i + self.per_task, pages), False, size, total) for i in range(0, pages, self.per_task)]
+        step = self.pages_of_task(pages)
+        return [PageRange(i, min(i + step, pages), False, size, total) for i in range(0, pages, step)]
+
+    def pages_of_task(self, pages: int) -> int:
+        """Pages of one task: a task costs as much as many pages, so a long source has more of them in each."""
+        return self.per_task or max(READ_PER_TASK, math.ceil(pages / READ_TASKS))
 
     def read(self, partition: PageRange) -> Iterator[tuple]:
         names = [f.name for f in self.schema.fields]
@@ -199,7 +208,7 @@ class PagedStreamReader(DataSourceStreamReader):
         if stop == first:
             return []
         size = max(1, len(self.pages._page(0)["results"]))
-        step = size * self.pages.per_task
+        step = size * self.pages.pages_of_task(-(-(stop - first) // size))
         cuts = [first, *range((first // step + 1) * step, stop, step), stop]
         return [RecordRange(a, b, size) for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -233,11 +242,13 @@ def land_pages(df, path: str, order: list, page_size: int) -> None:
 
     from fieldloom.operators.scale import with_position
 
+    total = df.count()
+    tasks = max(1, min(READ_TASKS, math.ceil(total / page_size / LANDED_PER_TASK)))
     placed = with_position(df, [], order, "_pos").withColumn("page", F.floor((F.col("_pos") - 1) / page_size))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    body = placed.groupBy("page").agg(
+    # a page is a folder, which takes longer to make than its rows: the pages are dealt by their number, not by their bytes
+    body = placed.repartition(tasks, "page").groupBy("page").agg(
         F.sort_array(F.collect_list(F.struct("_pos", F.struct(*df.columns).alias("r")))).alias("_rows")
-    ).withColumn("_total", total)
+    ).withColumn("_total", F.lit(total).cast("long"))
     doc = F.to_json(F.struct(
         F.transform("_rows", lambda x: x["r"]).alias("results"), F.col("_total").alias("total"),
         F.when((F.col("page") + 1) * page_size < F.col("_total"), F.col("page") + 1).alias("next"),

@@ -241,3 +241,22 @@ def test_paged_stream_faults(tmp_path):
     with pytest.raises(ValueError, match="were read before"):
         reader.partitions({"records": 10}, end)
     assert reader.partitions(end, end) == []
+
+
+def test_pages_are_landed_by_many_tasks_and_a_long_source_is_read_in_longer_runs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(paged, "LANDED_PER_TASK", 4)
+    path = str(tmp_path / "many")
+    paged.land_pages(spark.range(203), path, [F.col("id")], 5)
+    writers = {f.name.split("-")[1] for f in (tmp_path / "many").glob("page=*/part-*")}
+    assert len(writers) > 3 and len(list((tmp_path / "many").glob("page=*/part-*"))) == 41
+    assert sorted(r[0] for r in paged.read_paged(spark, "id BIGINT", url=path).collect()) == list(range(203))
+
+    def runs(**options):
+        return [(p.first, p.last) for p in paged.PagedReader(spark.range(1).schema, {"url": path, **options}).partitions()]
+
+    assert runs() == [(0, 16), (16, 32), (32, 41)] and len(runs(pages_per_task="1")) == 41
+    monkeypatch.setattr(paged, "READ_TASKS", 2)
+    assert runs() == [(0, 21), (21, 41)]
+    empty = str(tmp_path / "none")
+    paged.land_pages(spark.range(0), empty, [F.col("id")], 5)
+    assert not list((tmp_path / "none").glob("page=*"))
