@@ -3,8 +3,8 @@
 A document's ids are cut at every ``capacity`` ids; its pieces have lengths 1 to ``capacity``. Lengths are counted in
 a histogram, which is all that the driver gets: short pieces by their exact length, longer ones in bins that take at
 most 1 / 18 more room than the piece needs (see ``bins``), on average about 1 / 60. A linear program over packing patterns is solved there by column generation: the simplex method keeps a
-basis of patterns, and a knapsack dynamic program over the dual prices gives the next pattern, until none pays. The
-solution's whole parts are used; what rounding leaves (fewer than one sequence for each pattern of the basis) is
+basis of patterns, first those of a greedy plan, then a knapsack dynamic program over the dual prices gives the next
+pattern, until none pays. The solution's whole parts are used; what rounding leaves (fewer than one sequence for each pattern of the basis) is
 packed greedily, largest bin first. Pieces are then ranked within their bin by a distributed count, and a rank's place
 among the patterns' slots is its sequence.
 
@@ -74,19 +74,42 @@ def price(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.n
     return float(best[room]), pattern
 
 
+def largest_first(sizes: np.ndarray, demand: np.ndarray, room: int) -> Iterator[tuple[np.ndarray, int]]:
+    """(pattern, number of sequences) that together hold ``demand``: each takes the largest sizes that are left and fit,
+    and is used until one of its sizes runs out, so there are few of them whatever the demand."""
+    left = demand.copy()
+    while left.any():
+        pattern, free = np.zeros(len(sizes), np.int64), room
+        for i in np.flatnonzero(left)[::-1].tolist():
+            pattern[i] = min(left[i], free // sizes[i])
+            free -= int(pattern[i] * sizes[i])
+        times = int((left[pattern > 0] // pattern[pattern > 0]).min())
+        left -= pattern * times
+        yield pattern, times
+
+
 def linear_program(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = GAP) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (columns) and how often to use each, so that they hold ``demand`` in the fewest sequences.
 
     The optimum is at least the total size over the room, and the present number of sequences over the best pattern's
-    value; columns are added until the present number exceeds one of them by the share ``gap`` at most.
+    value; columns are added until the present number exceeds one of them by the share ``gap`` at most. The first columns
+    are the patterns of a greedy plan, from which few are missing; they cost no pricing.
     """
     basis = np.diag((room // sizes).astype(float))
     inverse = np.diag(1.0 / np.diag(basis))
     use = inverse @ demand
+    pool = np.array([pattern for pattern, _ in largest_first(sizes, demand, room)], float)
+    offers = 4 * len(pool)  # only so that rounding can't offer the same ones for ever
     while True:
-        value, pattern = price(inverse.sum(axis=0), sizes, room)
-        if use.sum() <= (1 + gap) * max(use.sum() / value, sizes @ demand / room):
-            break
+        prices = inverse.sum(axis=0)
+        worth = pool @ prices
+        if offers and worth.max() > 1 + max(gap / 2, 1e-6):
+            offers -= 1
+            pattern = pool[worth.argmax()]
+        else:
+            value, pattern = price(prices, sizes, room)
+            if use.sum() <= (1 + gap) * max(use.sum() / value, sizes @ demand / room):
+                break
         way = inverse @ pattern
         ratio = np.where(way > 1e-9, use / np.where(way > 1e-9, way, 1), np.inf)
         out = int(ratio.argmin())
@@ -108,22 +131,14 @@ def patterns_for(histogram: dict[int, int], room: int) -> list[tuple[dict[int, i
     columns, use = linear_program(sizes, demand, room)
     whole = np.floor(use + 1e-9).astype(np.int64)
     left, plan = demand.copy(), []
+    named = lambda column: {int(s): int(c) for s, c in zip(sizes, column, strict=True) if c}
     for k in np.argsort(-whole, kind="stable"):
         column = columns[:, k].round().astype(np.int64)
         times = int(min(whole[k], *(left[column > 0] // column[column > 0])))
         if times > 0:
-            plan.append(({int(s): int(c) for s, c in zip(sizes, column, strict=True) if c}, times))
+            plan.append((named(column), times))
             left -= column * times
-    while left.any():
-        pattern, free = {}, room
-        for i in range(len(sizes) - 1, -1, -1):
-            take = int(min(left[i], free // sizes[i]))
-            if take:
-                pattern[int(sizes[i])] = take
-                left[i] -= take
-                free -= take * int(sizes[i])
-        plan.append((pattern, 1))
-    return plan
+    return plan + [(named(pattern), times) for pattern, times in largest_first(sizes, left, room)]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -4,15 +4,19 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fieldloom.llm.packing import CAPACITY, GAP, UNIT, bins, linear_program, pack, patterns_for, placed, room_of
+from fieldloom.llm import packing
+from fieldloom.llm.packing import CAPACITY, GAP, UNIT, bins, linear_program, pack, patterns_for, placed, price, room_of
+from fieldloom.llm.wordpieces import WordEncoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+TOKENIZER, ENCODER = Tokenizer.from_file(PATH), WordEncoder(PATH)
 
 
 @settings(max_examples=40, deadline=None)
@@ -37,6 +41,34 @@ def test_linear_program_finds_the_optimum():
     assert np.allclose(basis @ use, demand) and use.sum() == pytest.approx(40.0)
 
 
+def test_few_patterns_are_priced(monkeypatch):
+    lengths = np.minimum(np.exp(np.random.default_rng(1).normal(5.5, 1.1, 40000)).astype(int) + 1, CAPACITY)
+    steps = np.array([next(step for longest, step in bins(CAPACITY, UNIT) if x <= longest) for x in lengths.tolist()])
+    sizes, counts = np.unique(np.minimum(-(-lengths // steps) * steps, CAPACITY), return_counts=True)
+    calls = []
+    monkeypatch.setattr(packing, "price", lambda *a: calls.append(1) or price(*a))
+    plan = patterns_for(dict(zip(sizes.tolist(), counts.tolist(), strict=True)), CAPACITY)
+    assert len(sizes) > 190 and len(calls) <= 50  # thousands from single sizes on
+    assert sum(times for _, times in plan) <= 1.01 * (sizes @ counts) / CAPACITY + 1
+
+
+WORDS = ["Haus", "maison.", "ERE***", "x$$$", "d'été", "don't", "it's'", "it's's", "İx", "ŉa", "K", "e\u0301t\u0301", "ΑΣ.", "\u0958", "漢字!", "12.5", "a1b", "(b)", "#", "'", "ǅ", "ſ", "ß,'", "x\u0338", "=\u0338", "a\x1cb", "a\xa0b", "\u0345", "Ⱥ"]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(WORDS) | st.text(max_size=5), max_size=30).map(" ".join), max_size=6))
+def test_words_encode_as_the_text(texts):
+    ids, counts = ENCODER.block(pa.array(texts, pa.string()))
+    whole = [TOKENIZER.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in whole] and ids.tolist() == [i for w in whole for i in w]
+
+
+def test_marks_behind_letters_are_words_of_their_own():
+    who = WordEncoder(PATH)
+    who.block(pa.array(["Haus*** ende*** haus$$$ ende"]))
+    assert set(who.rows) == {"", "haus", "ende", "***", "$$$"}
+
+
 def check(docs, rows, tokenizer, capacity):
     ids = [(d, np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [1], "<u4")) for d, t in docs]
     pool, seqs = {}, {}
