@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,11 @@ from pyspark.sql import functions as F
 from fieldloom.llm.bpe_trie import TrieEncoder
 from fieldloom.llm.chunks import chunks
 from fieldloom.llm.common import bounded_batches, stored, text_of
+from fieldloom.llm.shingles import bytes_of
 from fieldloom.llm.wordpieces import blocks, gathered
 
 #: bytes of text that are aligned at once, bytes of a block, and aligned chunks that a worker remembers
-PART, BLOCK, REMEMBERED = 2 << 20, 16 << 20, 100_000
+PART, BLOCK, REMEMBERED = 2 << 20, 16 << 20, 200_000
 MARK = "▁"
 DIGITS = 1 << 32
 
@@ -64,6 +66,20 @@ def overlaps(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.nda
     return left, np.arange(len(left)) + np.repeat(first - (np.cumsum(n) - n), n)
 
 
+def pooled(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes of ``values``, where each begins, how long each is."""
+    sizes = np.array([len(v) for v in values], np.int64)
+    return np.frombuffer(b"".join(values), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+def same_bytes(left: np.ndarray, left_sizes: np.ndarray, right: np.ndarray, right_sizes: np.ndarray) -> np.ndarray:
+    """Whether two lists of byte strings, each list in one array, hold the same string at each place."""
+    same = left_sizes == right_sizes
+    at = np.repeat(np.flatnonzero(same), left_sizes[same])
+    same[at[left[np.repeat(same, left_sizes)] != right[np.repeat(same, right_sizes)]]] = False
+    return same
+
+
 class Aligner:
     """Chunks by both tokenizers, aligned; what was aligned is remembered for a while."""
 
@@ -77,10 +93,12 @@ class Aligner:
         if any(MARK in p.lstrip(MARK) for p in pieces):
             raise ValueError(f"{path_b} has pieces that go on after a space mark, so texts can't be cut there")
         #: what cannot stand in a text, as the unknown token, is the replacement character: it never equals the text's bytes
-        self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else b"\xff" if self.b.is_control(i) or self.b.is_unknown(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
-        self.b_sizes = np.array([len(x) for x in self.b_bytes], np.int64)
+        b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else b"\xff" if self.b.is_control(i) or self.b.is_unknown(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.b_pool, self.b_starts, self.b_sizes = pooled(b_bytes)
         self.a_sizes = np.zeros(max(self.a.bytes) + 1, np.int64)
         self.a_sizes[list(self.a.bytes)] = [len(x) for x in self.a.bytes.values()]
+        #: each id in digits, with what comes after it
+        self.digits, self.digit_starts, self.digit_sizes = pooled([b"%d," % i for i in range(max(n, len(self.a_sizes)))])
         space = self.b.piece_to_id(MARK)
         self.space = [space] if pieces[space] == MARK else None
         self.forget()
@@ -99,15 +117,18 @@ class Aligner:
 
     def _learn(self, names: list[str]) -> None:
         self.a.make_room()
-        a_ids, a_edges = self.a.chunk_ids(names)
+        a_ids, a_edges = self.a.ids_of(names)
         pieces = self._pieces(names)
         told = np.zeros((len(names), 4), np.int64)
         told[:, 0] = np.diff(a_edges)
-        told[:, 1] = [len(p) for p in pieces]
-        value = self.b_bytes
-        good = np.array([b"".join([value[i] for i in p]) == c.encode() for c, p in zip(names, pieces, strict=True)], bool)
+        told[:, 1] = np.fromiter(map(len, pieces), np.int64, len(names))
+        b_edges = np.concatenate([[0], np.cumsum(told[:, 1])])
+        b_ids = np.fromiter(chain.from_iterable(pieces), np.int64, int(b_edges[-1]))
+        given, ends, _ = gathered(self.b_pool, self.b_starts, self.b_sizes, b_ids)
+        asked, bounds = bytes_of(pa.array(names, pa.string()))
+        good = same_bytes(given, np.diff(np.concatenate([[0], ends])[b_edges]), asked, np.diff(bounds))
         told[:, 3] = ~good
-        b_ids = np.array([i for p, ok in zip(pieces, good.tolist(), strict=True) if ok for i in p], np.int64)
+        b_ids = b_ids[np.repeat(good, told[:, 1])]
         a_ids = a_ids[np.repeat(good, told[:, 0])].astype(np.int64)
         a_ends, b_ends = np.cumsum(self.a_sizes[a_ids]), np.cumsum(self.b_sizes[b_ids])
         a_group, b_group = grouped(a_ends, b_ends)
@@ -123,12 +144,17 @@ class Aligner:
         self.link_from = np.concatenate([self.link_from, np.cumsum(counts) - counts + len(self.links)])
         self.link_count = np.concatenate([self.link_count, counts])
         self.links = np.concatenate([self.links, a_ids[left] * DIGITS + b_ids[right]])
-        side_a, side_b = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
-        a_edge = np.searchsorted(a_group, np.arange(total + 1)).tolist()
-        b_edge = np.searchsorted(b_group, np.arange(total + 1)).tolist()
-        written = [f"{','.join(side_a[p:q])}|{','.join(side_b[r:s])}" for p, q, r, s in zip(a_edge, a_edge[1:], b_edge, b_edge[1:], strict=False)]
-        edges = np.searchsorted(group_owner, np.arange(len(names) + 1)).tolist()
-        self.groups += [";".join(written[p:q]) for p, q in zip(edges, edges[1:], strict=False)]
+        # the groups' text: ids of A and B in turn, group by group, in digits; then what ends a side and a group
+        a_place = np.arange(len(a_ids)) + np.searchsorted(b_group, a_group, "left")
+        b_place = np.arange(len(b_ids)) + np.searchsorted(a_group, b_group, "right")
+        ids = np.zeros(len(a_ids) + len(b_ids), np.int64)
+        ids[a_place], ids[b_place] = a_ids, b_ids
+        text, ends, _ = gathered(self.digits, self.digit_starts, self.digit_sizes, ids)
+        for mark, place, group in ((b"|", a_place, a_group), (b";", b_place, b_group)):
+            text[ends[place[np.append(group[1:] != group[:-1], True)[: len(group)]]] - 1] = mark[0]
+        text = text.tobytes().decode()
+        edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(np.where(good, told[:, 0] + told[:, 1], 0))])].tolist()
+        self.groups += [text[p : max(p, q - 1)] for p, q in zip(edges, edges[1:], strict=False)]
         self.rows.update(zip(names, range(len(self.told), len(self.told) + len(names)), strict=True))
         self.told = np.concatenate([self.told, told])
 

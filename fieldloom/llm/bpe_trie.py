@@ -28,6 +28,8 @@ from fieldloom.llm.wordpieces import blocks, gathered
 #: bytes of text in a block, and chunks that a worker remembers; both only bound memory
 BLOCK = 4 << 20
 REMEMBERED = 150_000
+#: pairs of tokens that are kept when words are forgotten; this only bounds memory
+PAIRS = 1 << 18
 #: fixed value: the words of the byte-level kind
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: below this character, what is a letter or a number is the same in every version of the tables
@@ -123,6 +125,7 @@ class TrieEncoder:
         self.words = regex.compile(PATTERN)
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.cutter = Tokenizer.from_file(path).pre_tokenizer
+        self.together: dict[tuple[int, int], bool] = {}
         self.forget()
 
     def forget(self) -> None:
@@ -131,7 +134,8 @@ class TrieEncoder:
         self.known: dict[str, int] = {}
         self.of_chunk, self.of_word = _Pool(), _Pool()
         self.of_chunk.add([], [0])
-        self.together: dict[tuple[int, int], bool] = {}
+        if len(self.together) > PAIRS:  # what is known of pairs of tokens holds for all words
+            self.together.clear()
         self.moves = dict(self.children)
 
     def _automaton(self, whole: set[int]) -> None:
@@ -212,8 +216,9 @@ class TrieEncoder:
                     rest = depth - size[token]
                     if rest:
                         pair = (last[rest], token)
-                        goes = together.get(pair)
-                        if goes is None:
+                        try:
+                            goes = together[pair]
+                        except KeyError:
                             goes = together[pair] = apart(*pair)
                         if not goes:
                             continue
@@ -240,16 +245,28 @@ class TrieEncoder:
         rows = list(map(self.chunks.get, names))
         if None in rows:
             new = [c for c, r in zip(names, rows, strict=True) if r is None]
-            known = self.known
-            flat, count = [], []
-            for words in map(self.words_of, new):
-                flat += words
-                count.append(len(words))
-            fresh = sorted(w for w in set(flat) if w not in known)  # the order of characters is that of UTF-8
-            known.update(zip(fresh, self.of_word.add(*self.walk(fresh)), strict=True))
-            self.chunks.update(zip(new, self.of_chunk.add(list(map(known.__getitem__, flat)), count), strict=True))
+            words, count = self._rows_of(new)
+            self.chunks.update(zip(new, self.of_chunk.add(words, count), strict=True))
             rows = list(map(self.chunks.get, names))
         words, word_ends, _ = self.of_chunk.take(np.array(rows, np.int64))
+        return self._ids(words, word_ends)
+
+    def ids_of(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``chunk_ids``, for callers that remember chunks themselves: only words are remembered here."""
+        words, count = self._rows_of(names)
+        return self._ids(np.array(words, np.int64), np.cumsum(count, dtype=np.int64))
+
+    def _rows_of(self, names: list[str]) -> tuple[list[int], list[int]]:
+        """The rows of the words of ``names``, one after the other, and the number of words of each."""
+        known, flat, count = self.known, [], []
+        for words in map(self.words_of, names):
+            flat += words
+            count.append(len(words))
+        fresh = sorted(w for w in set(flat) if w not in known)  # the order of characters is that of UTF-8
+        known.update(zip(fresh, self.of_word.add(*self.walk(fresh)), strict=True))
+        return list(map(known.__getitem__, flat)), count
+
+    def _ids(self, words: np.ndarray, word_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ids, id_ends, _ = self.of_word.take(words)
         return ids, np.concatenate([[0], np.concatenate([[0], id_ends])[word_ends]])
 

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry_module
 from fieldloom.llm import alignment
 from fieldloom.llm.alignment import align, grouped, overlaps
-from fieldloom.llm.bpe_trie import byte_of_char
+from fieldloom.llm.bpe_trie import TrieEncoder, byte_of_char
 from tests.conftest import DATA
 
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -153,3 +153,22 @@ def test_chunks_encode_as_the_whole(libraries, who, texts):
             assert [i for p in at for i in ids[edges[p] : edges[p + 1]].tolist()] == a.encode(" " + text, add_special_tokens=False).ids
         if text and "▁" not in text:
             assert [i for p in at for i in pieces[p]] == b.encode(text)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.text("ab", max_size=3), st.text("ab", max_size=3)), max_size=12))
+def test_same_bytes(pairs):
+    sides = [alignment.pooled([p[k].encode() for p in pairs]) for k in (0, 1)]
+    assert alignment.same_bytes(sides[0][0], sides[0][2], sides[1][0], sides[1][2]).tolist() == [a == b for a, b in pairs]
+
+
+def test_chunks_are_remembered_once_and_pairs_of_tokens_outlive_words():
+    names, a = [" hello", " hello,", " x1y", ",", " 日本"], TrieEncoder(BYTES)
+    ids, edges = a.ids_of(names)
+    assert a.chunks == {"": 0} and " hello" in a.known  # the aligner remembers chunks, the encoder their words
+    pairs = dict(a.together)
+    a.forget()
+    assert not a.known and pairs and a.together == pairs
+    again, at = a.chunk_ids(names)
+    assert again.tolist() == ids.tolist() and at.tolist() == edges.tolist()
+    assert [x.tolist() for x in a.ids_of([])] == [[], [0]]
