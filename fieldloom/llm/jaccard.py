@@ -106,7 +106,11 @@ def shingled(docs: DataFrame, common: np.ndarray, words: int, percent: int) -> D
 
 
 def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """x, y, low (a lower bound of the distance), open (whether they may be linked) for ``pairs`` (x, y) of set ids."""
+    """x, y, low (a lower bound of the distance), open (whether they may be linked) for ``pairs`` (x, y) of set ids.
+
+    Only sets of ``pairs`` are sent, with the upper halves of their anchors: what differs in these differs in the anchors,
+    and below the last one's half both lists are complete, so the bound holds.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,16 +120,20 @@ def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             lists = []
             for side in "xy":
                 column = batch.column(f"anchors_{side}")
-                flat, offsets = np.asarray(column.values).view(np.uint64), np.asarray(column.offsets).tolist()
+                flat, offsets = np.asarray(column.values), np.asarray(column.offsets).tolist()
                 lists.append([flat[a:b] for a, b in zip(offsets, offsets[1:], strict=False)])
             for a, b, size, apart in zip(*lists, sizes, least, strict=True):
                 last = min(a[-1], b[-1])
-                a, b = a[: np.searchsorted(a, last, "right")], b[: np.searchsorted(b, last, "right")]
+                a, b = np.unique(a[: np.searchsorted(a, last)]), np.unique(b[: np.searchsorted(b, last)])
                 apart = max(apart, len(a) + len(b) - 2 * len(np.intersect1d(a, b, assume_unique=True)))
                 low.append(2 * apart / (size + apart))
                 open_.append(apart * (100 + percent) <= size * (100 - percent))
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(low, pa.float64()), pa.array(open_, pa.bool_())], names=["x", "y", "low", "open"])
 
+    ids = stored(pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct(), "compared")
+    # levels are small, so a half is no negative number and its order is that of the anchors
+    half = F.transform("anchors", lambda a: F.shiftright(a, 32).cast("int")).alias("anchors")
+    sets = sieved(sets, F.col("id"), ids, F.col("id")).select("id", "n", half)
     sides = [sets.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("anchors").alias(f"anchors_{s}")) for s in "xy"]
     joined = pairs.join(sides[0], "x").join(sides[1], "y").select("x", "y", "n_x", "n_y", "anchors_x", "anchors_y")
     return joined.mapInArrow(compare, "x long, y long, low double, open boolean")

@@ -10,7 +10,8 @@ from hypothesis import strategies as st
 import numpy as np
 import pyarrow as pa
 
-from fieldloom.llm.jaccard import near_duplicates, one_of_each
+from fieldloom.llm import jaccard
+from fieldloom.llm.jaccard import bounded, near_duplicates, one_of_each
 from fieldloom.llm.shingles import shingle_sets
 
 
@@ -63,6 +64,23 @@ def test_classes_as_brute_force(spark, block, tiled):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=repr) == brute(docs)
 
 
+def test_bounds_hold_and_only_compared_sets_are_sent(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    # few different upper halves, so that many anchors share one
+    base = rng.integers(0, 40, 60, dtype=np.int64) << 32 | rng.integers(0, 1 << 32, 60)
+    sets = {k: np.unique(np.concatenate([rng.choice(base, int(rng.integers(20, 60)), replace=False), rng.integers(0, 40, 8) << 32])) for k in range(12)}
+    anchored = {k: v[: len(v) - (75 * len(v) + 99) // 100 + 1] for k, v in sets.items()}
+    table = spark.createDataFrame([(k, len(v), anchored[k].tolist()) for k, v in sets.items()] + [(k, 4, [1, 2]) for k in range(100, 400)], "id long, n int, anchors array<long>")
+    pairs = spark.createDataFrame([(x, y) for x in sets for y in range(x)], "x long, y long")
+    sent, sieve = [], jaccard.sieved
+    monkeypatch.setattr(jaccard, "sieved", lambda *a: sent.append(sieve(*a)) or sent[-1])
+    rows = bounded(pairs, table, 75).collect()
+    assert len(rows) == 66 and sent[0].count() < 50  # 312 without the sieve
+    for r in rows:
+        both, either = (len(f(sets[r.x], sets[r.y])) for f in (np.intersect1d, np.union1d))
+        assert r.low <= 1 - both / either + 1e-12 and (r.open or 100 * both < 75 * either)
+
+
 def test_one_of_each_class_stays(spark):
     docs = corpus()
     table = spark.createDataFrame([(*d, 1, "k") for d in docs], "doc_id long, text string, id int, region string")
