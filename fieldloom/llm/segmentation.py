@@ -37,6 +37,8 @@ MARK, LITERAL_MARK = 0x2581, 0x110000
 WIDE, WINDOW = 256, 1 << 14
 #: a byte costs this much more than the rarest piece
 BYTE_COST = 2.0
+#: upper bits of a hash by which pieces are looked up; it changes no result
+BUCKET_BITS = 20
 #: characters of text in a block, and bytes of a batch; both only bound memory
 CHARS, BATCH = 1 << 20, 4 << 20
 
@@ -55,6 +57,18 @@ def _uniform(seeds: np.ndarray, steps: np.ndarray | int) -> np.ndarray:
     return (mixed(seeds + step * STEP) >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
+def _by_stop(stop: np.ndarray, places: int) -> np.ndarray:
+    """The stable order of ``stop``: runs that rise, one for each length of a piece, so that a run has a place at most once."""
+    behind = np.cumsum(np.bincount(stop, minlength=places)) - np.bincount(stop, minlength=places)
+    order = np.empty(len(stop), np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(stop) <= 0) + 1).tolist(), len(stop)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        at = behind[stop[a:b]]
+        order[at] = np.arange(a, b)
+        behind[stop[a:b]] = at + 1
+    return order
+
+
 class Lattice:
     """The pieces of a model file, ready to be looked up by hash."""
 
@@ -82,31 +96,44 @@ class Lattice:
                 known.setdefault(h, -1)
             known[at[-1]] = i
         keys = np.array(sorted(known), np.uint64)
-        self.keys, self.ids = keys, np.array([known[k] for k in keys.tolist()])
+        # behind the last key stands one that ends every search
+        self.keys, self.ids = np.append(keys, np.uint64(2**64 - 1)), np.array([*(known[k] for k in keys.tolist()), known.get(2**64 - 1, -1)])
+        self.first = np.searchsorted(keys, np.arange(1 << BUCKET_BITS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)).astype(np.int32)
         raw = [bytes([self.byte_ids.tolist().index(i)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("▁", " ").encode() if i in pieces else b"" for i in ids]
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_sizes = np.array([len(r) for r in raw])
         self.raw_ends = np.cumsum(self.raw_sizes)
 
+    def _looked_up(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of the first key that is not below each hash: few keys share a bucket, so a step or two find it."""
+        at = self.first[(hashes >> np.uint64(64 - BUCKET_BITS)).view(np.int64)]
+        below = np.flatnonzero(self.keys[at] < hashes)
+        while len(below):
+            at[below] += 1
+            below = below[self.keys[at[below]] < hashes[below]]
+        return at
+
     def edges(self, cps: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """start, stop, piece (-1: bytes), weight of all pieces that fit into ``cps``; ``ends``: end of each place's segment."""
         n = len(cps)
         symbols, active = _symbols(cps), np.flatnonzero(np.arange(n) < ends)
-        hashes, found = np.zeros(n, np.uint64), []
+        hashes, found = np.zeros(len(active), np.uint64), []
         single = np.arange(n) >= ends  # the places behind segments are no characters
         for k in range(self.longest):
-            active = active[active + k < ends[active]]
+            inside = np.flatnonzero(active + k < ends[active])
+            active, hashes = active[inside], hashes[inside]
             if not len(active):
                 break
-            hashes[active] += symbols[active + k] * self.places[k]
-            at = np.minimum(np.searchsorted(self.keys, hashes[active]), len(self.keys) - 1)
-            hit = self.keys[at] == hashes[active]
-            active, at = active[hit], at[hit]
-            piece = self.ids[at]
-            whole = piece >= 0
-            found.append((active[whole], active[whole] + k + 1, piece[whole]))
+            hashes = hashes + symbols[active + k] * self.places[k]
+            at = self._looked_up(hashes)
+            hit = np.flatnonzero(self.keys[at] == hashes)
+            active, hashes = active[hit], hashes[hit]
+            piece = self.ids[at[hit]]
+            whole = np.flatnonzero(piece >= 0)
+            begin = active[whole]
+            found.append((begin, begin + k + 1, piece[whole]))
             if k == 0:
-                single[active[whole]] = True
+                single[begin] = True
         rest = np.flatnonzero(~single)
         start, stop, piece = (np.concatenate(c) for c in zip(*found, (rest, rest + 1, np.full(len(rest), -1)), strict=True))
         used = cps[rest]
@@ -173,27 +200,34 @@ class Lattice:
         start, stop, piece, weight = self.edges(padded, ends)
 
         # forward: by place in the segment, all segments at once
-        order = np.argsort(stop, kind="stable")
+        order = _by_stop(stop, total)
         start, stop, piece, weight = start[order], stop[order], piece[order], weight[order]
-        depth = np.zeros(total, np.int64)
+        depth = np.zeros(total, np.uint16)
         depth[place] = np.arange(len(place)) - np.repeat(np.cumsum(own) - own, own)
         depth[head + own] = own
         ways = np.full(total, -np.inf)
         ways[head] = 0
-        share = np.zeros(len(start))
-        by_depth = np.argsort(depth[stop], kind="stable")
-        cuts = np.searchsorted(depth[stop][by_depth], np.arange(1, WIDE + 2))
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            e = by_depth[a:b]
-            if not len(e):
+        depths = depth[stop]
+        by_depth = np.argsort(depths, kind="stable")
+        cuts = np.cumsum(np.bincount(depths, minlength=WIDE + 1))
+        begins, costs, into = start[by_depth], weight[by_depth], stop[by_depth]
+        heads = np.flatnonzero(np.diff(into, prepend=-1))
+        many = np.diff(np.append(heads, len(into)))
+        into = into[heads]
+        upto = np.searchsorted(heads, cuts)
+        parts = np.empty(len(start))
+        for a, b, i, j in zip(cuts, cuts[1:], upto, upto[1:], strict=False):
+            if a == b:
                 break
-            value = ways[start[e]] + weight[e]
-            group = np.flatnonzero(np.diff(stop[e], prepend=-1))
+            value = ways[begins[a:b]] + costs[a:b]
+            group, sizes = heads[i:j] - a, many[i:j]
             top = np.maximum.reduceat(value, group)
-            many = np.diff(np.append(group, len(e)))
-            scaled = np.exp(value - np.repeat(top, many))
-            ways[stop[e[group]]] = top + np.log(np.add.reduceat(scaled, group))
-            share[e] = scaled / np.repeat(np.add.reduceat(scaled, group), many)
+            scaled = np.exp(value - np.repeat(top, sizes))
+            sums = np.add.reduceat(scaled, group)
+            ways[into[i:j]] = top + np.log(sums)
+            parts[a:b] = scaled / np.repeat(sums, sizes)
+        share = np.empty(len(start))
+        share[by_depth] = parts
         # the edges into a place share the unit interval behind its number
         group = np.flatnonzero(np.diff(stop, prepend=-1))
         many = np.diff(np.append(group, len(stop)))

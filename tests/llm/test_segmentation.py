@@ -8,7 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 import sentencepiece
 
-from fieldloom.llm.segmentation import decode, encode, lattice
+from fieldloom.llm.segmentation import _by_stop, decode, encode, lattice
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = ["Hello  world ▁x", "", None, "ab\ncd é漢字🙂 \0 end ", "naïve café" + " " * 70 + "z" * 130, "▁▁ ▁", "x" * 50_000, "Same text", "Same text"]
@@ -75,3 +75,12 @@ def test_windows_do_not_change_a_draw():
         segment, steps, ids, letters = pieces._together(cps[:250], np.array([250]), seed)
         short = pieces._alone(cps[:250], seed)
         assert all((a == b).all() for a, b in zip(whole, alone)) and (short[0] == ids).all() and (short[1] == letters).all()
+
+
+def test_edges_are_looked_up_and_ordered_without_searching_or_sorting():
+    pieces, rng = lattice(MODEL, 1.0), np.random.default_rng(3)
+    keys = pieces.keys[:-1]
+    asked = np.concatenate([keys, keys + np.uint64(1), rng.integers(0, 2**64, 5000, dtype=np.uint64), np.array([0, 2**64 - 2, 2**64 - 1], np.uint64)])
+    assert (pieces._looked_up(asked) == np.searchsorted(keys, asked)).all()
+    stop = np.concatenate([np.sort(rng.choice(np.arange(1, 400), n, replace=False)) for n in (300, 120, 1, 7)])
+    assert (_by_stop(stop, 401) == np.argsort(stop, kind="stable")).all()
