@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldloom.llm.common import bounded_batches, sieved, spare, stored, text_of
+from fieldloom.llm.common import bounded_batches, sieved, sifted, spare, stored, text_of
 from fieldloom.llm.components import components
 from fieldloom.llm.shingles import digest, shingle_sets
 from fieldloom.llm.wordpieces import blocks
@@ -219,17 +219,17 @@ def links(sets: DataFrame, sets_of, texts_of, words: int, percent: int, block: i
     ``sets_of(ids)`` gives those of a table of ids again, ``texts_of(ids)`` their id, text.
     """
     r = 1 - percent / 100 + 1e-9
-    ordered = Window.partitionBy("region").orderBy("id")
-    rows = sets.select("id", F.explode("anchors").alias("region")).withColumn("first", F.first("id").over(ordered)).where("id <> first")
-    rows = stored(rows, "regions")
+    # a region's rows meet once, where its size and its members' common hash are found; all else goes by id
+    region = Window.partitionBy("region")
+    rows = sets.select("id", F.explode("anchors").alias("region")).withColumn("m", F.count("*").over(region)).where("m > 1")
+    rows = stored(rows.withColumn("who", F.bit_xor(F.xxhash64("id")).over(region)), "regions")
     if rows.isEmpty():
         return None
-    members = rows.select("region", "id").unionByName(rows.select("region", F.col("first").alias("id")).distinct())
-    shared = members.groupBy("region").agg(F.count("*").alias("m"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"))
-    weights = stored(members.join(shared, "region").groupBy("id").agg(F.sum(F.col("m") - 1).alias("weight")), "weights")
-    sets = stored(sets_of(weights.select("id")), "open-sets")
-    # regions with the same members are one
-    members = stored(members.join(shared.groupBy("m", "who").agg(F.min("region").alias("region")), "region").select("region", "id").join(weights, "id"), "members")
+    # regions with the same members are one: each member names the same one of them
+    members = rows.repartition("id").groupBy("id", "m", "who").agg(F.min("region").alias("region"), F.count("*").alias("same"))
+    weight = F.sum(F.col("same") * (F.col("m") - 1)).over(Window.partitionBy("id"))
+    members = stored(members.select("region", "id", weight.alias("weight")), "members")
+    sets = stored(sets_of(members.select("id").distinct()), "open-sets")
 
     known: DataFrame | None = None
     found: DataFrame | None = None
@@ -259,11 +259,12 @@ def links(sets: DataFrame, sets_of, texts_of, words: int, percent: int, block: i
         at = pairs.withColumn("x", F.greatest("id", "p")).withColumn("y", F.least("id", "p"))
         return at.join(known, ["x", "y"]).drop("x", "y")
 
-    best = members.groupBy("region").agg(F.max_by("id", F.struct("weight", "id")).alias("p"))
-    star = members.join(best, "region").where("id <> p").select("region", "id", "p", "weight")
-    measure(star.select(F.col("id").alias("x"), F.col("p").alias("y")))
-    seat = distances(star.select("region", "id", "p", "weight")).select("region", "id", "weight", "d")
-    regions = stored(seat.unionByName(members.join(best.select("region", F.col("p").alias("id")), ["region", "id"]).select("region", "id", "weight", F.lit(0.0).alias("d"))), "seats")
+    star = members.withColumn("p", F.max(F.struct("weight", "id")).over(region)["id"])
+    star = stored(star, "stars")
+    rest = star.where("id <> p")
+    measure(rest.select(F.col("id").alias("x"), F.col("p").alias("y")))
+    seat = distances(rest).select("region", "id", "weight", "d")
+    regions = stored(seat.unionByName(star.where("id = p").select("region", "id", "weight", F.lit(0.0).alias("d"))), "seats")
     turn = 0
     while True:
         turn += 1
@@ -327,12 +328,18 @@ def classes_of(docs: DataFrame, words: int, percent: int, block: int, tiled: int
     common = common_shingles(texts, words)
     named = stored(shingled(texts.select("doc_id", "text_hash", "text"), common, words, percent), "sets")
     row = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")
-    sets = named.where("n > 0").groupBy("id").agg(F.min(row).alias("row"), F.first("n").alias("n"), F.first("anchors").alias("anchors"))
+    # most sets stand once, and their anchors stay where they are; only those of sets that may stand again are shuffled
+    worded = named.where("n > 0").select("id", "n", "anchors")
+    again = stored(worded.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id"), "repeated")
+    sets = sifted(worded, F.col("id"), again, F.col("id"), "again")
+    once = sets.where("again").groupBy("id").agg(F.first("n").alias("n"), F.first("anchors").alias("anchors"))
+    sets = sets.where("not again").drop("again").unionByName(once)
     first = named.where("n > 0").groupBy("id").agg(F.min(row).alias("row"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        ids = stored(ids, "wanted")
-        return sieved(named, F.col("id"), ids, F.col("id")).join(ids, "id", "left_semi").select("id", "n", "anchors").dropDuplicates(["id"])
+        # no semi-join: Spark would move that before the sieve
+        ids = stored(ids.distinct(), "wanted")
+        return sieved(named, F.col("id"), ids, F.col("id")).join(ids, "id").select("id", "n", "anchors").dropDuplicates(["id"])
 
     def texts_of(ids: DataFrame) -> DataFrame:
         wanted = first.join(ids, "id", "left_semi").select("id", F.col("row.doc_id").alias("wanted_doc"), F.col("row.text_hash").alias("wanted_hash"))
@@ -340,7 +347,7 @@ def classes_of(docs: DataFrame, words: int, percent: int, block: int, tiled: int
         same = F.col("doc_id").eqNullSafe(F.col("wanted_doc")) & (F.col("text_hash") == F.col("wanted_hash"))
         return sieved(texts, F.col("text_hash"), wanted, F.col("wanted_hash")).join(wanted, same).select("id", "text").dropDuplicates(["id"])
 
-    found = links(sets.select("id", "n", "anchors"), sets_of, texts_of, words, percent, block, tiled)
+    found = links(sets, sets_of, texts_of, words, percent, block, tiled)
     if found is None:
         return named, first.select("id", F.col("id").alias("class"), "row")
     tied = first.join(components(found), F.col("id") == F.col("node"), "left").select("id", "row", F.coalesce("component", "id").alias("class"))

@@ -125,3 +125,34 @@ def test_one_of_each_with_clashing_columns(spark):
     text = "one two three four five six seven"
     docs = spark.createDataFrame([(1, text, "a", "b", "c"), (2, text, "a", "b", "c"), (3, "", "a", "b", "c")], "doc_id long, text string, class string, text_hash string, k_class string")
     assert sorted(tuple(r) for r in one_of_each(docs).collect()) == [(1, text, "a", "b", "c"), (3, "", "a", "b", "c")]
+
+
+def test_members_of_regions_are_dealt_once(spark, monkeypatch):
+    plans, store = {}, jaccard.stored
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(jaccard, "stored", lambda df, name: plans.setdefault(name, plan(df)) and store(df, name))
+    # 1, 2 and 3 share two regions each of the same members, 3 and 4 one; 5 is alone
+    anchors = {1: [10, 11], 2: [10, 11], 3: [10, 11, 12], 4: [12, 13], 5: [14]}
+    sets = spark.createDataFrame([(k, 8, v) for k, v in anchors.items()], "id long, n int, anchors array<long>")
+    texts = spark.createDataFrame([(k, "a b c d e f g h i j k l" if k < 4 else f"q{k} r s t u v w x y z {k}") for k in anchors], "id long, text string")
+    found = jaccard.links(sets, lambda ids: sets.join(ids, "id", "left_semi"), lambda ids: texts.join(ids, "id", "left_semi"), 5, 75)
+    assert {frozenset(r) for r in found.collect()} >= {frozenset((1, 3)), frozenset((2, 3))}
+    assert plans["regions"].count("Exchange") == 1 and plans["members"].count("Exchange") == 1
+
+
+def test_anchors_are_shuffled_of_repeated_sets_only(spark, monkeypatch):
+    plans, store = {}, jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda df, name: plans.setdefault(name, df) is not None and store(df, name))
+    conf = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "-1")  # as with ids that are too many to be sent to all tasks
+    try:
+        texts = [f"w{k} a b c d e f g h i j {k}" for k in range(40)] * 2 + [" ".join(f"x{k}y{i}" for i in range(12)) for k in range(300)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = near_duplicates(docs).collect()
+        wanted = plans["open-sets"]._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set(conf, before)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(list(enumerate(texts)))
+    # the sieve stands before the join with the ids, so that rows are left out before they are shuffled
+    assert "LeftSemi" not in wanted
